@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.quality import FREQUENCY_PERIODS
-from seriesloom.panel import KEY, in_halo, near, own_rows, with_halo
+from seriesloom.panel import KEY, near, own_rows, with_halo
 
 
 def _moving_average(p: int) -> Column:
@@ -21,10 +23,11 @@ def _moving_average(p: int) -> Column:
     return F.when(F.count("y").over(wide) == 2 * half + 1, mean)
 
 
-def decompose(panel: DataFrame, period: int | str) -> DataFrame:
+def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | None = None) -> DataFrame:
     """Add period, trend, seasonal, resid.
 
-    ``period`` is one number, or the name of a column with a period per series. The trend ends
+    ``period`` is one number, or the name of a column with a period per series; ``candidates``
+    then lists the values it may take, by default those of the frequency table. The trend ends
     are extended by a line through the nearest ``period`` trend points. Components are null for
     series with missing values or fewer than two periods.
 
@@ -35,7 +38,7 @@ def decompose(panel: DataFrame, period: int | str) -> DataFrame:
         candidates = [period]
         rows = panel.select(KEY, "ts", "i", "y", F.lit(period).alias("period"))
     else:
-        candidates = sorted(set(FREQUENCY_PERIODS.values()))
+        candidates = sorted(set(candidates or FREQUENCY_PERIODS.values()))
         rows = panel.select(KEY, "ts", "i", "y", F.col(period).cast("int").alias("period"))
     top = max(candidates)
     reach = top // 2 + top + 1
