@@ -43,3 +43,10 @@ def prepare(df: DataFrame, ts, value, key=None) -> DataFrame:
         series.alias(KEY), _col(ts).cast("timestamp_ntz").alias("ts"), clean_value(_col(value)).alias("y")
     ).where(F.col("ts").isNotNull())
     return index_rows(rows)
+
+
+def from_vectors(df: DataFrame, key, values) -> DataFrame:
+    """Each array as a short daily series."""
+    rows = df.select(_col(key).cast("string").alias(KEY), F.posexplode(_col(values)).alias("pos", "v"))
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.col("pos")).cast("timestamp_ntz")
+    return rows.select(KEY, day.alias("ts"), F.col("pos").cast("long").alias("i"), clean_value(F.col("v")).alias("y"))
