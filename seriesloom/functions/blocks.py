@@ -60,6 +60,7 @@ def rows_to_pandas(df: DataFrame, finish: Callable[[dict], dict], schema: str) -
     def run(batches):
         for batch in batches:
             made = [finish(row) for row in batch.to_dict("records")]
-            yield pd.DataFrame(made, columns=names)
+            # object columns keep a missing array as None
+            yield pd.DataFrame({c: pd.Series([m.get(c) for m in made], dtype=object) for c in names})
 
     return df.mapInPandas(run, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,26 +23,39 @@ def _partial(cov: pd.Series, n: pd.Series, top: pd.Series) -> pd.Series:
     )
 
 
-def correlogram(panel: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
-    """One row per series: n, band and the arrays acf, pacf from lag 0 on. Expects a filled series.
+def lag_pass(panel: DataFrame, max_lag: int = MAX_LAG, stats: DataFrame | None = None) -> DataFrame:
+    """One row per series: n, cov (products of centred values at lags 0 to max_lag) and change features.
 
-    All lags come from one window pass and one aggregation of ``max_lag + 1`` products.
+    Everything comes from one window pass and one aggregation. ``stats`` may bring the mean and n
+    of each series along; otherwise they are computed first.
     """
-    stats = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.count("y").alias("n"))
-    centred = panel.select(KEY, "i", "y").join(stats, KEY).withColumn("c", F.col("y") - F.col("mean"))
+    if stats is None:
+        stats = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.count("y").alias("n"))
+    centred = panel.select(KEY, "i", "y").join(stats.select(KEY, "mean", "n"), KEY).withColumn("c", F.col("y") - F.col("mean"))
     lagged = with_halo(centred, back=max_lag).select(
         KEY, "n", "w", "i", "c", *[F.lag("c", k).over(in_halo()).alias(f"c{k}") for k in range(1, max_lag + 1)]
     )
-    products = [F.sum(F.col("c") * F.col("c"))] + [F.sum(F.col("c") * F.col(f"c{k}")) for k in range(1, max_lag + 1)]
-    sums = own_rows(lagged).groupBy(KEY, "n").agg(
-        F.array(*[F.coalesce(p, F.lit(0.0)) for p in products]).alias("cov")
+    c, before = F.col("c"), F.col("c1")
+    products = [F.sum(c * c)] + [F.sum(c * F.col(f"c{k}")) for k in range(1, max_lag + 1)]
+    return own_rows(lagged).groupBy(KEY, "n").agg(
+        F.array(*[F.coalesce(p, F.lit(0.0)) for p in products]).alias("cov"),
+        F.avg(F.abs(c - before)).alias("mean_abs_change"),
+        F.stddev_pop(c - before).alias("std_1st_diff"),
+        (F.count_if(F.signum(c) != F.signum(before)) / F.count("*")).alias("zero_crossing_rate"),
     )
+
+
+def correlogram(panel: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
+    """One row per series: n, band and the arrays acf, pacf from lag 0 on. Expects a filled series."""
+    return from_sums(lag_pass(panel, max_lag), max_lag)
+
+
+def from_sums(sums: DataFrame, max_lag: int = MAX_LAG) -> DataFrame:
     top = F.least(F.lit(max_lag), F.expr("n div 2"))
     partial_top = F.greatest(F.lit(0), F.least(F.lit(max_lag), F.expr("n div 2 - 1")))
     spread = F.get("cov", F.lit(0))
     return sums.select(
-        KEY,
-        "n",
+        "*",
         (1.96 / F.sqrt("n")).alias("band"),
         F.when(
             spread > 0, F.transform(F.slice("cov", F.lit(1), (top + 1).cast("int")), lambda v: v / spread)
@@ -63,12 +78,13 @@ def significant_lags(values: str) -> F:
     return F.filter(lags, lambda k: F.abs(F.get(F.col(values), k)) > F.col("band"))
 
 
-def lag_features(rows: DataFrame) -> DataFrame:
+def lag_features(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     usable = F.size("acf") > 1
     found, partial = significant_lags("acf"), significant_lags("pacf")
     sizes = F.transform(F.slice("acf", 2, MAX_LAG * 1000), F.abs)
     return rows.select(
         KEY,
+        *keep,
         F.when(usable, F.get("acf", F.lit(1))).otherwise(0.0).alias("lag_1_acf"),
         F.when(usable, F.coalesce(F.get(partial, F.lit(0)), F.lit(0))).otherwise(1).cast("int").alias("pacf_order"),
         F.when(usable & (F.size(found) > 0), F.slice(found, 1, 5)).otherwise(F.array(F.lit(1))).alias("recommended_lags"),

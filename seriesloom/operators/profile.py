@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.mathx import student_t_two_sided
-from seriesloom.operators.autocorr import correlogram, lag_features
+from seriesloom.operators.autocorr import from_sums, lag_features, lag_pass
 from seriesloom.operators.decompose import component_variances, decompose, strength
-from seriesloom.operators.prep import iqr_bounds
 from seriesloom.operators.quality import seasonal_period
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.operators.stationarity import adf
-from seriesloom.panel import KEY, in_halo, own_rows, with_halo
+from seriesloom.panel import KEY
+from seriesloom.session import written
 
 TREND_PERIOD = 12
 TREND_MIN_ROWS = 24
@@ -25,20 +25,19 @@ def t_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(student_t_two_sided(t.to_numpy(float), df.to_numpy(float)))
 
 
-def basic_features(panel: DataFrame) -> DataFrame:
+def _basic_columns():
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    return panel.groupBy(KEY).agg(
+    return [
         F.count("y").alias("dataset_size"),
         F.concat(stamp(F.min("ts")), F.lit(" to "), stamp(F.max("ts"))).alias("date_range"),
         (F.count_if(F.col("y").isNull()) / F.count("*") * 100).alias("missing_pct"),
         F.lit(True).alias("univariate"),
-    )
+    ]
 
 
-def moment_features(panel: DataFrame) -> DataFrame:
-    """Sample deviation; population skewness and excess kurtosis."""
+def _moment_columns():
     y = F.col("y")
-    return panel.groupBy(KEY).agg(
+    return [
         F.avg(y).alias("mean"),
         F.stddev_samp(y).alias("std"),
         F.min(y).alias("min"),
@@ -46,36 +45,54 @@ def moment_features(panel: DataFrame) -> DataFrame:
         F.skewness(y).alias("skewness"),
         F.kurtosis(y).alias("kurtosis"),
         F.coalesce(F.try_divide(F.stddev_samp(y), F.avg(y)), F.lit(0.0)).alias("cv"),
-    )
+    ]
+
+
+def _line_columns():
+    x, y = F.col("i").cast("double"), F.col("y")
+    return [
+        F.regr_count(y, x).alias("points"),
+        F.regr_slope(y, x).alias("slope"),
+        F.regr_intercept(y, x).alias("intercept"),
+        F.corr(y, x).alias("r"),
+    ]
+
+
+def basic_features(panel: DataFrame) -> DataFrame:
+    return panel.groupBy(KEY).agg(*_basic_columns())
+
+
+def moment_features(panel: DataFrame) -> DataFrame:
+    """Sample deviation; population skewness and excess kurtosis."""
+    return panel.groupBy(KEY).agg(*_moment_columns())
 
 
-def outlier_features(panel: DataFrame, threshold: float = 1.5) -> DataFrame:
-    bounds = iqr_bounds(panel, threshold)
-    hit = (F.col("y") < F.col("lower")) | (F.col("y") > F.col("upper"))
+def quantile_features(panel: DataFrame, threshold: float = 1.5) -> DataFrame:
+    """Median, and rows beyond the quartile fences."""
+    marks = quantiles(panel, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    spread = threshold * (F.col("q3") - F.col("q1"))
+    hit = (F.col("y") < F.col("q1") - spread) | (F.col("y") > F.col("q3") + spread)
     return (
-        panel.join(bounds, KEY)
+        panel.join(marks, KEY)
         .groupBy(KEY)
-        .agg(F.count_if(hit).alias("outliers_count"), (F.count_if(hit) / F.count("*") * 100).alias("outlier_pct"))
+        .agg(
+            F.first("median").alias("median"),
+            F.count_if(hit).alias("outliers_count"),
+            (F.count_if(hit) / F.count("*") * 100).alias("outlier_pct"),
+        )
     )
 
 
 def statistical_features(panel: DataFrame) -> DataFrame:
-    return (
-        moment_features(panel)
-        .join(quantiles(panel, {"median": 0.5}), KEY, "left")
-        .join(outlier_features(panel), KEY, "left")
-    )
+    return moment_features(panel).join(quantile_features(panel), KEY, "left")
 
 
 def trend_line(panel: DataFrame) -> DataFrame:
     """Least squares of the value on its position; flat series have r = 0, short ones no fit."""
-    x, y = F.col("i").cast("double"), F.col("y")
-    fit = panel.groupBy(KEY).agg(
-        F.regr_count(y, x).alias("points"),
-        F.regr_slope(y, x).alias("slope"),
-        F.regr_intercept(y, x).alias("intercept"),
-        F.corr(y, x).alias("r"),
-    )
+    return _tested_line(panel.groupBy(KEY).agg(*_line_columns()))
+
+
+def _tested_line(fit: DataFrame) -> DataFrame:
     r = F.when(F.col("points") >= 2, F.coalesce(F.when(~F.isnan("r"), F.col("r")), F.lit(0.0)))
     dof = (F.col("points") - 2).cast("double")
     t = F.try_divide(r * F.sqrt(F.greatest(dof, F.lit(0.0))), F.sqrt(F.greatest(1 - r * r, F.lit(0.0))))
@@ -122,21 +139,12 @@ def seasonality_features(panel: DataFrame, frequencies: DataFrame) -> DataFrame:
     )
 
 
+CHANGES = ["mean_abs_change", "std_1st_diff", "zero_crossing_rate"]
+
+
 def change_features(panel: DataFrame) -> DataFrame:
     """Mean absolute change, population deviation of changes, rate of crossings of the mean."""
-    means = panel.groupBy(KEY).agg(F.avg("y").alias("mean"))
-    side = F.signum(F.col("y") - F.col("mean"))
-    rows = with_halo(panel.join(means, KEY).withColumn("side", side), back=1)
-    rows = own_rows(
-        rows.withColumn("step", F.col("y") - F.lag("y").over(in_halo())).withColumn(
-            "crossed", F.col("side") != F.lag("side").over(in_halo())
-        )
-    )
-    return rows.groupBy(KEY).agg(
-        F.avg(F.abs("step")).alias("mean_abs_change"),
-        F.stddev_pop("step").alias("std_1st_diff"),
-        (F.count_if("crossed") / F.count("*")).alias("zero_crossing_rate"),
-    )
+    return lag_pass(panel, 1).select(KEY, *CHANGES)
 
 
 def complexity(features: DataFrame) -> DataFrame:
@@ -155,17 +163,22 @@ def complexity(features: DataFrame) -> DataFrame:
 
 
 def profile(panel: DataFrame, frequencies: DataFrame, adf_max_lag: int | None = None) -> DataFrame:
-    """All features in one row per series. Frequencies may come from the raw data."""
-    line = trend_line(panel)
-    joined = basic_features(panel).join(frequencies.select(KEY, "frequency"), KEY, "left")
+    """All features in one row per series. Frequencies may come from the raw data.
+
+    The panel is read several times, so hand in a written table. One aggregation gives size,
+    moments and trend line, one window pass all lag products and changes.
+    """
+    whole = written(panel.groupBy(KEY).agg(*_basic_columns(), *_moment_columns(), *_line_columns()), "sums")
+    line = _tested_line(whole.select(KEY, "points", "slope", "intercept", "r"))
+    lags = from_sums(lag_pass(panel, stats=whole.select(KEY, "mean", F.col("dataset_size").alias("n"))))
+    joined = whole.drop("points", "slope", "intercept", "r").join(frequencies.select(KEY, "frequency"), KEY, "left")
     for part in (
-        statistical_features(panel),
+        quantile_features(panel),
         trend_flags(line),
         trend_strength(panel, line),
         seasonality_features(panel, frequencies),
         adf(panel, adf_max_lag).select(KEY, "adf_statistic", "adf_p_value", "is_stationary"),
-        lag_features(correlogram(panel)),
-        change_features(panel),
+        lag_features(lags, CHANGES),
     ):
         joined = joined.join(part, KEY, "left")
     return complexity(joined)

@@ -61,10 +61,35 @@ def vector_labels(spark, sf):
     return rows.select(F.col("vec_id").cast("string").alias(KEY), F.col("label").cast("string").alias("label"))
 
 
+def stored(spark, sf, make) -> DataFrame:
+    """The panel written once per session and scale, since several steps read it."""
+    return shared(spark, sf, make.__name__, lambda: make(spark, sf))
+
+
+def shared(spark, sf, name, make) -> DataFrame:
+    place = (spark.sparkContext.applicationId, sf, name)
+    if place not in _SHARED:
+        _SHARED[place] = written(make(), name)
+    return _SHARED[place]
+
+
+def clear_shared() -> None:
+    _SHARED.clear()
+
+
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def frequencies_of(spark, sf, make) -> DataFrame:
+    return shared(spark, sf, f"{make.__name__}_freq", lambda: quality.detect_frequency(stored(spark, sf, make)))
+
+
 def plain_features(spark, sf):
     """Profile of the mixed panel with the plain unit-root test, whose statistic SQL can follow."""
-    panel = mixed(spark, sf)
-    return profile.profile(panel, quality.detect_frequency(panel), adf_max_lag=0)
+    return shared(
+        spark, sf, "features",
+        lambda: profile.profile(stored(spark, sf, mixed), frequencies_of(spark, sf, mixed), adf_max_lag=0),
+    )
 
 
 # ---------------------------------------------------------------- output shape
@@ -261,81 +286,81 @@ def exact_quantiles(spark, sf):
 
 @query
 def features_basic(spark, sf):
-    panel = mixed(spark, sf)
-    freq = quality.detect_frequency(panel).select(KEY, "frequency")
+    panel = stored(spark, sf, mixed)
+    freq = frequencies_of(spark, sf, mixed).select(KEY, "frequency")
     return tidy(profile.basic_features(panel).join(freq, KEY))
 
 
 @query
 def features_statistical(spark, sf):
-    return tidy(profile.statistical_features(mixed(spark, sf)), 3, skewness=6, kurtosis=6, cv=6)
+    return tidy(profile.statistical_features(stored(spark, sf, mixed)), 3, skewness=6, kurtosis=6, cv=6)
 
 
 @query
 def trend_line(spark, sf):
-    return tidy(profile.trend_line(mixed(spark, sf)).drop("dof"), 4, r=7, t=6, p_value=6)
+    return tidy(profile.trend_line(stored(spark, sf, mixed)).drop("dof"), 4, r=7, t=6, p_value=6)
 
 
 @query
 def trend_flags(spark, sf):
-    return tidy(profile.trend_flags(profile.trend_line(mixed(spark, sf))), 5, trend_linearity=7)
+    return tidy(profile.trend_flags(profile.trend_line(stored(spark, sf, mixed))), 5, trend_linearity=7)
 
 
 @query
 def trend_strength(spark, sf):
-    panel = mixed(spark, sf)
+    panel = stored(spark, sf, mixed)
     return tidy(profile.trend_strength(panel, profile.trend_line(panel)), 6)
 
 
 @query
 def seasonality(spark, sf):
-    panel = mixed(spark, sf)
-    return tidy(profile.seasonality_features(panel, quality.detect_frequency(panel)), 6)
+    panel = stored(spark, sf, mixed)
+    return tidy(profile.seasonality_features(panel, frequencies_of(spark, sf, mixed)), 6)
 
 
 @query
 def unit_root_plain(spark, sf):
-    return tidy(stationarity.adf(mixed(spark, sf), max_lag=0), 5)
+    return tidy(stationarity.adf(stored(spark, sf, mixed), max_lag=0), 5)
 
 
 @query
 def unit_root_sums(spark, sf):
     """Cross products of the augmented regression with lag orders up to 3, per entry."""
-    sums = stationarity.adf_sums(mixed(spark, sf), max_lag=3)
+    sums = stationarity.adf_sums(stored(spark, sf, mixed), max_lag=3)
     entries = sums.select(KEY, F.posexplode(F.slice("vec", 1, 36)).alias("entry", "total"))
     return tidy(entries, 6)
 
 
 @query
 def unit_root_test(spark, sf):
-    return tidy(stationarity.adf(mixed(spark, sf)), 6)
+    return tidy(stationarity.adf(stored(spark, sf, mixed)), 6)
 
 
 @query
 def level_stationarity(spark, sf):
-    return tidy(stationarity.kpss(mixed(spark, sf)), 6)
+    return tidy(stationarity.kpss(stored(spark, sf, mixed)), 6)
 
 
 @query
 def acf_values(spark, sf):
-    frame = autocorr.correlogram_frame(autocorr.correlogram(mixed(spark, sf)))
+    frame = autocorr.correlogram_frame(autocorr.correlogram(stored(spark, sf, mixed)))
     return tidy(frame.select(KEY, "lag", "acf", "lower", "upper"), 7)
 
 
 @query
 def acf_pacf_frame(spark, sf):
-    return tidy(autocorr.correlogram_frame(autocorr.correlogram(mixed(spark, sf))), 6)
+    return tidy(autocorr.correlogram_frame(autocorr.correlogram(stored(spark, sf, mixed))), 6)
 
 
 @query
 def lag_features(spark, sf):
-    rows = autocorr.lag_features(autocorr.correlogram(mixed(spark, sf)))
+    rows = autocorr.lag_features(autocorr.correlogram(stored(spark, sf, mixed)))
     return tidy(rows.withColumn("recommended_lags", evidence.list_text(F.col("recommended_lags"))), 6)
 
 
 @query
 def change_features(spark, sf):
-    return tidy(profile.change_features(mixed(spark, sf)), 3, zero_crossing_rate=7)
+    return tidy(profile.change_features(stored(spark, sf, mixed)), 3, zero_crossing_rate=7)
 
 
 @query
@@ -361,8 +386,8 @@ def features_json(spark, sf):
 @query
 def features_full(spark, sf):
     """Profile with the augmented test and automatic lag order."""
-    panel = mixed(spark, sf)
-    rows = profile.profile(panel, quality.detect_frequency(panel))
+    panel = stored(spark, sf, mixed)
+    rows = profile.profile(panel, frequencies_of(spark, sf, mixed))
     return tidy(rows.withColumn("recommended_lags", evidence.list_text(F.col("recommended_lags"))), 5)
 
 
@@ -371,9 +396,9 @@ def features_full(spark, sf):
 
 @query
 def decomposition(spark, sf):
-    panel = mixed(spark, sf)
-    periods = quality.detect_frequency(panel).select(KEY, quality.seasonal_period(F.col("frequency")).alias("season"))
-    return tidy(decompose.decompose(panel.join(periods, KEY), "season"), 2)
+    panel = stored(spark, sf, mixed)
+    periods = frequencies_of(spark, sf, mixed).select(KEY, quality.seasonal_period(F.col("frequency")).alias("season"))
+    return tidy(decompose.decompose(panel.join(periods, KEY), "season"), 2, y=5)
 
 
 @query
@@ -394,8 +419,8 @@ def rolling_trend(spark, sf):
 
 @query
 def calendar_profile(spark, sf):
-    panel = mixed(spark, sf)
-    return tidy(decompose.calendar_profile(panel, quality.detect_frequency(panel)), 3)
+    panel = stored(spark, sf, mixed)
+    return tidy(decompose.calendar_profile(panel, frequencies_of(spark, sf, mixed)), 3)
 
 
 @query
@@ -405,7 +430,7 @@ def stat_cards(spark, sf):
 
 @query
 def evidence_trend(spark, sf):
-    return tidy(evidence.trend_evidence(profile.trend_line(mixed(spark, sf))))
+    return tidy(evidence.trend_evidence(profile.trend_line(stored(spark, sf, mixed))))
 
 
 @query
@@ -416,13 +441,13 @@ def evidence_seasonality(spark, sf):
 
 @query
 def evidence_stationarity(spark, sf):
-    panel = mixed(spark, sf)
+    panel = stored(spark, sf, mixed)
     return tidy(evidence.stationarity_evidence(stationarity.adf(panel, 0), stationarity.kpss(panel)))
 
 
 @query
 def evidence_autocorrelation(spark, sf):
-    return tidy(evidence.autocorrelation_evidence(autocorr.correlogram(mixed(spark, sf))))
+    return tidy(evidence.autocorrelation_evidence(autocorr.correlogram(stored(spark, sf, mixed))))
 
 
 @query
@@ -465,7 +490,7 @@ def _assumed_picks(features):
 
 
 def _decisions(spark, sf):
-    features = written(plain_features(spark, sf), "features")
+    features = plain_features(spark, sf)
     return recommend.decide(recommend.recommend(features), _assumed_picks(features))
 
 
@@ -546,10 +571,10 @@ def metrics_chart(spark, sf):
 
 @query
 def seasonal_difference(spark, sf):
-    """Zero-lag sums of the doubly differenced training series behind the seasonal model."""
-    train = train_rows(split(mixed(spark, sf), 0.8))
+    """Root of the zero-lag sum of the doubly differenced training series behind the seasonal model."""
+    train = train_rows(split(stored(spark, sf, mixed), 0.8))
     sums = arima.lag_sums(train, seasonal=True)
-    return tidy(sums.select(KEY, F.get("vec", F.lit(0)).alias("sum_w2")), 2)
+    return tidy(sums.select(KEY, F.sqrt(F.get("vec", F.lit(0))).alias("root_sum")), 3)
 
 
 @query
@@ -559,8 +584,8 @@ def lag_frame(spark, sf):
 
 
 def _bench(spark, sf):
-    panel = mixed(spark, sf)
-    features = profile.seasonality_features(panel, quality.detect_frequency(panel))
+    panel = stored(spark, sf, mixed)
+    features = profile.seasonality_features(panel, frequencies_of(spark, sf, mixed))
     return Bench(panel, 0.8, features, rounds=ROUNDS)
 
 
@@ -627,15 +652,15 @@ def saved_model_score(spark, sf):
 @query
 def next_30(spark, sf):
     """Thirty periods beyond the end of every series."""
-    panel = mixed(spark, sf)
+    panel = stored(spark, sf, mixed)
     whole = split(panel, 1.0)
     ends = whole.groupBy(KEY).agg(F.max("n_train").alias("n_train"), F.max("ts").alias("last_ts"))
-    gaps = quality.detect_frequency(panel).select(KEY, F.col("median_gap_seconds").alias("gap_seconds"))
+    gaps = frequencies_of(spark, sf, mixed).select(KEY, F.col("median_gap_seconds").alias("gap_seconds"))
     return tidy(models.next_steps(arima.fit(whole), "ARIMA", ends.join(gaps, KEY), 30), 3)
 
 
 def _learned(spark, sf):
-    """Monthly and daily sales per brand, profiled and benchmarked: the classifier's training series."""
+    """Monthly sales per brand, profiled and benchmarked: the classifier's training series."""
     lines = table(spark, sf, "lineitem").join(
         table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"
     )
@@ -713,7 +738,7 @@ def error_threshold(spark, sf):
 @query
 def classify_forest(spark, sf):
     """Forest on profile features, trained on 80 % of the series; report on the rest."""
-    panel = vectors(spark, sf)
+    panel = stored(spark, sf, vectors)
     frequencies = lengths(panel).select(KEY, F.lit("D").alias("frequency"))
     features = profile.profile(panel, frequencies)
     rows = written(classify.mark_test(meta.meta_features(features).join(vector_labels(spark, sf), KEY)), "labelled")
@@ -785,8 +810,8 @@ def first_labels(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Profile every daily order series and recommend a forecaster."""
-    panel = daily(spark, sf)
-    features = profile.profile(panel, quality.detect_frequency(panel))
+    panel = written(daily(spark, sf), "daily")
+    features = written(profile.profile(panel, quality.detect_frequency(panel)), "features")
     best = recommend.recommend(features).select(KEY, F.col("primary.name").alias("primary_name"))
     return features.join(best, KEY, "left").select(
         KEY, "dataset_size", "frequency", "mean", "std", "trend_slope", "trend_direction", "has_trend",

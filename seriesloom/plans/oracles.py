@@ -505,7 +505,7 @@ SQL["features_json"] = sql(
 SQL["decomposition"] = sql(
     f"{MIXED}, {FREQ}, {by_frequency()}",
     "SELECT series_id, ts, i, CAST(period AS BIGINT) AS period, "
-    + ", ".join(r(c, 2, c) for c in ("y", "trend", "seasonal", "resid")) + " FROM season_parts",
+    + r("y", 5, "y") + ", " + ", ".join(r(c, 2, c) for c in ("trend", "seasonal", "resid")) + " FROM season_parts",
 )
 _M12 = f"{MONTHLY}, {decomposed('d12', 'panel', 12)}"
 SQL["decomposition_frame"] = sql(
@@ -704,7 +704,7 @@ w AS (SELECT series_id, i, n_train, y - lag(y, 1) OVER {W} - lag(y, 12) OVER {W}
 deep AS (SELECT series_id, max(n_train) AS n, CASE
   WHEN max(n_train) - 13 - 13 - 24 >= 38 THEN 37 WHEN max(n_train) - 13 - 13 - 12 >= 23 THEN 25
   WHEN max(n_train) - 13 - 13 - 12 >= 18 THEN 25 ELSE 14 END AS depth FROM w GROUP BY 1)""",
-    f"SELECT w.series_id, {r('sum(w * w)', 2, 'sum_w2')} FROM w JOIN deep USING (series_id) WHERE i >= 13 + depth GROUP BY 1",
+    f"SELECT w.series_id, {r('sqrt(sum(w * w))', 3, 'root_sum')} FROM w JOIN deep USING (series_id) WHERE i >= 13 + depth GROUP BY 1",
 )
 _LAGGED = ", ".join(f"lag(y, {k}) OVER {W} AS lag_{k}" for k in (1, 2, 3, 7, 14))
 SQL["lag_frame"] = sql(

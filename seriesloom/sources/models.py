@@ -61,7 +61,7 @@ def score_saved(params: DataFrame, name: str, panel: DataFrame, trained_rows: Da
 
 def next_steps(params: DataFrame, name: str, lengths: DataFrame, steps: int = 30) -> DataFrame:
     """Forecast the ``steps`` periods after training; ``lengths`` has series_id, n_train, last_ts, gap_seconds."""
-    rows = lengths.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(steps))).cast("long"))
+    rows = lengths.withColumn("h", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(steps).cast("long"))))
     rows = rows.withColumn("i", F.col("n_train") + F.col("h") - 1).withColumn(
         "ts",
         F.timestamp_micros(
