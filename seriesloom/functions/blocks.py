@@ -39,7 +39,7 @@ def block_vectors(
         pdf = pdf.sort_values("i", ignore_index=True)
         own = (pdf["i"].to_numpy() // size) == key[1]
         if not own.any():
-            return pd.DataFrame({c: [] for c in [KEY, *keep, "vec"]})
+            return pd.DataFrame({c: [] for c in [KEY, *keep, "vec"]}, dtype=object)
         out = {KEY: [key[0]], **{c: [pdf[c].iloc[0]] for c in keep}, "vec": [kernel(pdf, own)]}
         return pd.DataFrame(out)
 

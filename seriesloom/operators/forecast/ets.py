@@ -21,7 +21,7 @@ from seriesloom.session import block_rows
 
 WARM_UP = 16_384
 ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
-BETAS = (0.0, 0.05, 0.1, 0.3)
+BETAS = (0.01, 0.05, 0.1, 0.3)  # never 0: a slope that is never updated would not fade
 GAMMAS = (0.05, 0.1, 0.3, 0.5, 0.7)
 SCHEMA = (
     f"{KEY} string, status string, error string, season int, alpha double, beta double, gamma double, "

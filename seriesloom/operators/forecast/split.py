@@ -27,7 +27,7 @@ def train_rows(parts: DataFrame) -> DataFrame:
     return parts.where("is_train")
 
 
-def test_rows(parts: DataFrame) -> DataFrame:
+def holdout_rows(parts: DataFrame) -> DataFrame:
     return parts.where("not is_train").withColumn("h", F.col("i") - F.col("n_train") + 1)
 
 

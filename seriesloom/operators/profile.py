@@ -49,12 +49,13 @@ def _moment_columns():
 
 
 def _line_columns():
-    x, y = F.col("i").cast("double"), F.col("y")
+    x, y = F.when(F.col("y").isNotNull(), F.col("i").cast("double")), F.col("y")
     return [
         F.regr_count(y, x).alias("points"),
         F.regr_slope(y, x).alias("slope"),
         F.regr_intercept(y, x).alias("intercept"),
-        F.corr(y, x).alias("r"),
+        # the built-in correlation raises on a flat series in ANSI mode
+        F.try_divide(F.covar_pop(y, x), F.stddev_pop(y) * F.stddev_pop(x)).alias("r"),
     ]
 
 

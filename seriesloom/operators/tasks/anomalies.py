@@ -94,12 +94,16 @@ def isolation_forest(
     scaled = written(rows.join(stats, KEY).select(*rows.columns, *z), "isolation")
     inputs = [f"z_{c}" for c in names]
 
-    drawn = scaled.select(*inputs, F.xxhash64(KEY, "i", F.lit(seed)).alias("draw"), F.col(KEY), F.col("i"))
-    drawn = drawn.orderBy("draw", KEY, "i").limit(trees * sample).withColumn("tree", F.pmod("draw", F.lit(trees)))
+    drawn = scaled.select(KEY, "i", *inputs, F.xxhash64(KEY, "i", F.lit(seed)).alias("draw"))
+    drawn = written(drawn.orderBy("draw", KEY, "i").limit(trees * sample), "drawn")
+    # with few rows each row enters several trees
+    shares = min(trees, -(-trees * sample // max(drawn.count(), 1)))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
+    drawn = drawn.withColumn("turn", turn).withColumn("tree", F.pmod(F.col("draw") + F.col("turn"), F.lit(trees)))
 
     def grow(key, pdf):
         rng = np.random.default_rng([seed, int(key[0])])
-        x = pdf.sort_values("draw")[inputs].to_numpy()[: 2 * sample]
+        x = pdf.sort_values("draw")[inputs].to_numpy()
         size = min(sample, len(x))
         nodes = _grow(x[rng.permutation(len(x))[:size]], rng, max(1, math.ceil(math.log2(max(size, 2)))))
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "below", "above", "path"])

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive
-from seriesloom.operators.forecast.split import metrics, rank_models, split, test_rows, train_rows
+from seriesloom.operators.forecast.split import metrics, rank_models, split, holdout_rows, train_rows
 from seriesloom.panel import KEY
 from seriesloom.session import written
 
@@ -49,7 +49,7 @@ class Bench:
     ):
         self.ratio, self.lags, self.rounds = ratio, lags, rounds
         self.parts = written(split(panel, ratio, seasons), "split")
-        self.train, self.future = train_rows(self.parts), test_rows(self.parts)
+        self.train, self.future = train_rows(self.parts), holdout_rows(self.parts)
         self._fitted: dict[str, DataFrame] = {}
 
     def params(self, name: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from seriesloom.operators import autocorr, decompose, evidence, meta, prep, profile, quality, recommend, stationarity
 from seriesloom.operators.forecast import arima, boosted, naive
-from seriesloom.operators.forecast.split import metrics, metrics_frame, rank_models, split, test_rows, train_rows
+from seriesloom.operators.forecast.split import metrics, metrics_frame, rank_models, split, holdout_rows, train_rows
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.operators.tasks import anomalies, classify, cluster, sequences
 from seriesloom.panel import KEY, lengths
@@ -396,9 +396,15 @@ def features_full(spark, sf):
 
 @query
 def decomposition(spark, sf):
-    panel = stored(spark, sf, mixed)
-    periods = frequencies_of(spark, sf, mixed).select(KEY, quality.seasonal_period(F.col("frequency")).alias("season"))
-    return tidy(decompose.decompose(panel.join(periods, KEY), "season"), 2, y=5)
+    """With the period of each series' frequency."""
+    panel = stored(spark, sf, hourly)
+    periods = frequencies_of(spark, sf, hourly).select(KEY, quality.seasonal_period(F.col("frequency")).alias("season"))
+    return tidy(decompose.decompose(panel.join(periods, KEY), "season"), 6)
+
+
+@query
+def decomposition_daily(spark, sf):
+    return tidy(decompose.decompose(daily(spark, sf), 7), 2)
 
 
 @query
@@ -542,9 +548,9 @@ def holdout_split(spark, sf):
 
 def _naive(spark, sf):
     parts = _split(spark, sf)
-    made = naive.predict(naive.fit(train_rows(parts), 24), test_rows(parts))
-    other = naive.predict(naive.fit(train_rows(parts), 1), test_rows(parts))
-    y = test_rows(parts).select(KEY, "i", "y")
+    made = naive.predict(naive.fit(train_rows(parts), 24), holdout_rows(parts))
+    other = naive.predict(naive.fit(train_rows(parts), 1), holdout_rows(parts))
+    y = holdout_rows(parts).select(KEY, "i", "y")
     both = made.withColumn("model", F.lit("Seasonal Naive")).unionByName(other.withColumn("model", F.lit("Last Value")))
     return both.join(y, [KEY, "i"])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from seriesloom.operators.recommend import FORECASTING_TEXT, HYBRID_TEXT, OTHER_TEXT
 
-PERIODS = {"D": 7, "M": 12, "H": 24}
+PERIODS = {"H": 24, "D": 7, "W": 52, "M": 12, "Q": 4}
 
 
 def r(expr: str, digits: int, name: str | None = None) -> str:
@@ -502,10 +502,14 @@ SQL["features_json"] = sql(
     "CAST(has_trend AS VARCHAR), CAST(has_seasonality AS VARCHAR)) AS features_json FROM features",
     True,
 )
+_PARTS = ("y", "trend", "seasonal", "resid")
 SQL["decomposition"] = sql(
-    f"{MIXED}, {FREQ}, {by_frequency()}",
-    "SELECT series_id, ts, i, CAST(period AS BIGINT) AS period, "
-    + r("y", 5, "y") + ", " + ", ".join(r(c, 2, c) for c in ("trend", "seasonal", "resid")) + " FROM season_parts",
+    f"{HOURLY}, {FREQ}, {by_frequency()}",
+    "SELECT series_id, ts, i, CAST(period AS BIGINT) AS period, " + ", ".join(r(c, 6, c) for c in _PARTS) + " FROM season_parts",
+)
+SQL["decomposition_daily"] = sql(
+    f"{DAILY}, {decomposed('d7', 'panel', 7)}",
+    "SELECT series_id, ts, i, CAST(period AS BIGINT) AS period, " + ", ".join(r(c, 2, c) for c in _PARTS) + " FROM d7",
 )
 _M12 = f"{MONTHLY}, {decomposed('d12', 'panel', 12)}"
 SQL["decomposition_frame"] = sql(
