@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.functions.mathx import partial_autocorrelation
-from seriesloom.panel import KEY, in_halo, own_rows, with_halo
+from seriesloom.panel import KEY, attach, in_halo, own_rows, with_halo
 
 MAX_LAG = 40
 
@@ -26,12 +26,12 @@ def _partial(cov: pd.Series, n: pd.Series, top: pd.Series) -> pd.Series:
 def lag_pass(panel: DataFrame, max_lag: int = MAX_LAG, stats: DataFrame | None = None) -> DataFrame:
     """One row per series: n, cov (products of centred values at lags 0 to max_lag) and change features.
 
-    Everything comes from one window pass and one aggregation. ``stats`` may bring the mean and n
-    of each series along; otherwise they are computed first.
+    Everything comes from one window pass and one aggregation. ``stats`` may bring mean, n and
+    last_i of each series along; otherwise they are computed first.
     """
     if stats is None:
-        stats = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.count("y").alias("n"))
-    centred = panel.select(KEY, "i", "y").join(stats.select(KEY, "mean", "n"), KEY).withColumn("c", F.col("y") - F.col("mean"))
+        stats = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.count("y").alias("n"), F.max("i").alias("last_i"))
+    centred = attach(panel.select(KEY, "i", "y"), stats.select(KEY, "mean", "n", "last_i")).withColumn("c", F.col("y") - F.col("mean"))
     lagged = with_halo(centred, back=max_lag).select(
         KEY, "n", "w", "i", "c", *[F.lag("c", k).over(in_halo()).alias(f"c{k}") for k in range(1, max_lag + 1)]
     )

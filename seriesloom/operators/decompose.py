@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.quality import FREQUENCY_PERIODS
-from seriesloom.panel import KEY, near, own_rows, with_halo
+from seriesloom.panel import KEY, attach, near, own_rows, with_halo
 
 
 def _moving_average(p: int) -> Column:
@@ -121,7 +121,7 @@ def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | N
     lines = lines.withColumn("raw", raw)
     mean = F.aggregate("raw", zero, lambda a, v: a + v) / F.size("raw")
     lines = lines.withColumn("raw_mean", mean).select(
-        KEY, "f_k", "f_c", "b_k", "b_c", F.transform("raw", lambda v: v - F.col("raw_mean")).alias("pattern")
+        KEY, (F.col("rows") - 1).alias("last_i"), "f_k", "f_c", "b_k", "b_c", F.transform("raw", lambda v: v - F.col("raw_mean")).alias("pattern")
     )
     full_trend = (
         F.when(F.col("pattern").isNull(), F.lit(None))
@@ -130,7 +130,7 @@ def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | N
         .otherwise(t)
     )
     return (
-        base.join(lines, KEY, "left")
+        attach(base, lines, "left")
         .withColumn("trend", full_trend)
         .withColumn("seasonal", F.get("pattern", F.col("phase").cast("int")))
         .withColumn("resid", F.col("y") - F.col("trend") - F.col("seasonal"))
@@ -176,7 +176,7 @@ def calendar_profile(panel: DataFrame, frequencies: DataFrame) -> DataFrame:
     kinds = frequencies.select(KEY, F.col("frequency").isin("H", "D").alias("weekly"))
     slot = F.when(F.col("weekly"), F.weekday("ts")).otherwise(F.month("ts"))
     seen = (
-        panel.join(kinds, KEY).groupBy(KEY, slot.alias("slot")).agg(F.avg("y").alias("mean_y"))
+        attach(panel, kinds).groupBy(KEY, slot.alias("slot")).agg(F.avg("y").alias("mean_y"))
     )
     slots = F.when(F.col("weekly"), F.sequence(F.lit(0), F.lit(6))).otherwise(F.sequence(F.lit(1), F.lit(12)))
     return (

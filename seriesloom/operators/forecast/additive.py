@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.blocks import block_vectors, rows_to_pandas
 from seriesloom.functions.mathx import solve_normal
 from seriesloom.operators.quality import epoch_seconds
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 
 CHANGEPOINTS, CHANGEPOINT_RANGE = 25, 0.8
 TERMS = [(365.25, 10), (7.0, 3)]
@@ -47,9 +47,10 @@ def _prediction(beta: str, t: Column, days: Column) -> Column:
 def fit(train: DataFrame) -> DataFrame:
     days = epoch_seconds(F.col("ts")) / 86_400
     spans = train.groupBy(KEY).agg(
-        F.min(days).alias("t_lo"), F.max(days).alias("t_hi"), F.max(F.abs("y")).alias("size"), F.count("y").alias("known")
+        F.min(days).alias("t_lo"), F.max(days).alias("t_hi"), F.max(F.abs("y")).alias("size"), F.count("y").alias("known"),
+        F.max("i").alias("last_i"),
     )
-    rows = train.select(KEY, "i", "y", days.alias("days")).join(spans, KEY).where("y is not null")
+    rows = attach(train.select(KEY, "i", "y", days.alias("days")), spans).where("y is not null")
 
     def kernel(pdf, own):
         pdf = pdf[own]
@@ -76,7 +77,7 @@ def fit(train: DataFrame) -> DataFrame:
 
 
 def predict(params: DataFrame, future: DataFrame) -> DataFrame:
-    rows = future.select(KEY, "ts", "i", "h").join(params.where("status = 'success'"), KEY)
+    rows = attach(future.select(KEY, "ts", "i", "h"), params.where("status = 'success'"))
     days = epoch_seconds(F.col("ts")) / 86_400
     t = (days - F.col("t_lo")) / F.greatest(F.col("t_hi") - F.col("t_lo"), F.lit(1e-9))
     scale = F.when(F.col("size") > 0, F.col("size")).otherwise(1.0)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.blocks import block_vectors, rows_to_pandas
 from seriesloom.functions.mathx import solve_normal
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 from seriesloom.session import block_rows
 
 REACH = 1_024
@@ -156,7 +156,7 @@ def predict(params: DataFrame, future: DataFrame) -> DataFrame:
     last = lambda c: F.element_at(c, -1)
     first = phi * last("w_tail") + F.col("theta") * last("e_tail")
     closed = last("y_tail") + first * (1 - F.pow(phi, h)) / (1 - phi)
-    plain = rows.join(good.where("season = 0"), KEY).select(KEY, "ts", "i", "h", closed.alias("yhat"))
+    plain = attach(rows, good.where("season = 0")).select(KEY, "ts", "i", "h", closed.alias("yhat"))
 
     ends = rows.groupBy(KEY).agg(F.max("h").alias("h_max"))
     pieces = (

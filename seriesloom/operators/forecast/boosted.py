@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.panel import KEY, in_halo, own_rows, with_halo
+from seriesloom.panel import KEY, attach, in_halo, own_rows, with_halo
 
 DEFAULT_LAGS = (1, 2, 3, 7, 14)
 ROUNDS, RATE, DEPTH, SHARE, SEED = 200, 0.05, 5, 0.9, 42
@@ -34,9 +34,9 @@ def lag_frame(parts: DataFrame, lags: Sequence[int] = DEFAULT_LAGS, ratio: float
 
 
 def standardised(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
-    stats = frame.where("is_train").groupBy(KEY).agg(F.avg("y").alias("centre"), F.stddev_pop("y").alias("spread"))
+    stats = frame.where("is_train").groupBy(KEY).agg(F.avg("y").alias("centre"), F.stddev_pop("y").alias("spread"), (F.max("n") - 1).alias("last_i"))
     spread = F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0)
-    rows = frame.join(stats, KEY).withColumn("spread", spread)
+    rows = attach(frame, stats).withColumn("spread", spread)
     return rows.select("*", *[((F.col(c) - F.col("centre")) / F.col("spread")).alias(f"z_{c}") for c in columns])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.functions.blocks import block_vectors, rows_to_pandas
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 from seriesloom.session import block_rows
 
 WARM_UP = 16_384
@@ -118,7 +118,7 @@ def fit(train: DataFrame, seasonal: bool = True, value: str = "y") -> DataFrame:
 
 
 def predict(params: DataFrame, future: DataFrame) -> DataFrame:
-    rows = future.select(KEY, "ts", "i", "h").join(params.where("status = 'success'"), KEY)
+    rows = attach(future.select(KEY, "ts", "i", "h"), params.where("status = 'success'"))
     phase = (F.col("i") % F.col("season")).cast("int")
     yhat = F.col("level") + F.col("h") * F.col("slope") + F.get("pattern", phase)
     return rows.select(KEY, "ts", "i", "h", yhat.alias("yhat"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators.decompose import decompose
 from seriesloom.operators.forecast import arima, boosted, ets, naive
-from seriesloom.panel import KEY, in_halo, own_rows, with_halo
+from seriesloom.panel import KEY, attach, in_halo, own_rows, with_halo
 from seriesloom.session import block_rows, written
 
 RESIDUAL_LAGS = (1, 2, 3)
@@ -38,7 +38,7 @@ def base_fits(train: DataFrame, arima_params: DataFrame, ets_params: DataFrame)
     )
     spark = train.sparkSession
     size = block_rows(spark)
-    rows = with_halo(train.select(KEY, "i", "y", "n_train", "season").join(known, KEY), back=min(ets.WARM_UP, size))
+    rows = with_halo(attach(train.select(KEY, "i", "y", "n_train", "season"), known), back=min(ets.WARM_UP, size))
 
     def run(key, pdf):
         pdf = pdf.sort_values("i", ignore_index=True)
@@ -76,13 +76,13 @@ def predict_boosted(
     scale = resid.groupBy(KEY).agg(F.avg("resid").alias("centre"), F.stddev_pop("resid").alias("spread"))
     scale = scale.withColumn("spread", F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0))
     z = lambda c: (F.col(c) - F.col("centre")) / F.col("spread")
-    rows = lagged.join(scale, KEY).select(z("resid").alias("z_resid"), *[z(c).alias(f"z_{c}") for c in names])
+    rows = attach(lagged, scale).select(z("resid").alias("z_resid"), *[z(c).alias(f"z_{c}") for c in names])
     inputs = [f"z_{c}" for c in names]
     assembler, model = boosted.train_trees(rows, inputs, "z_resid", rounds, RESIDUAL_DEPTH)
 
     sizes = train.select(KEY, "n_train").distinct()
     recent = (
-        resid.join(sizes, KEY)
+        attach(resid, sizes)
         .where(F.col("i") >= F.col("n_train") - top)
         .groupBy(KEY)
         .agg(*[F.max(F.when(F.col("i") == F.col("n_train") - k, F.col("resid"))).alias(f"last_{k}") for k in RESIDUAL_LAGS])
@@ -99,7 +99,7 @@ def predict_boosted(
             chain = chain.when(h == step, F.col(f"last_{k - step + 1}"))
         return chain.otherwise(F.lit(0.0))
 
-    ahead = two.join(one, [KEY, "h"]).join(recent, KEY).join(scale, KEY)
+    ahead = attach(two.join(one, [KEY, "h"]), recent.join(scale, KEY))
     ahead = ahead.select("*", *[lag(k).alias(f"lag_{k}") for k in RESIDUAL_LAGS])
     ahead = ahead.select("*", *[z(c).alias(f"z_{c}") for c in names]).dropna(subset=inputs)
     scored = model.transform(assembler.transform(ahead))

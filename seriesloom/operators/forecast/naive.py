@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 
 
 def last_season(train: DataFrame, value: str = "y", season=None) -> DataFrame:
@@ -29,6 +29,6 @@ def fit(train: DataFrame, season=None) -> DataFrame:
 
 
 def predict(params: DataFrame, future: DataFrame) -> DataFrame:
-    rows = future.select(KEY, "ts", "i", "h").join(params.where("status = 'success'"), KEY)
+    rows = attach(future.select(KEY, "ts", "i", "h"), params.where("status = 'success'"))
     phase = (F.col("i") % F.col("season")).cast("int")
     return rows.select(KEY, "ts", "i", "h", F.get("pattern", phase).alias("yhat"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.quality import DEFAULT_PERIOD
-from seriesloom.panel import KEY, lengths
+from seriesloom.panel import KEY, attach, lengths
 
 MAPE_FLOOR = 1e-8
 
@@ -20,7 +20,8 @@ def split(panel: DataFrame, ratio: float = 0.8, seasons: DataFrame | None = None
         sizes = sizes.join(seasons.select(KEY, F.col("seasonal_period").alias("season")), KEY, "left").withColumn(
             "season", F.coalesce(F.col("season").cast("int"), F.lit(DEFAULT_PERIOD))
         )
-    return panel.select(KEY, "ts", "i", "y").join(sizes, KEY).withColumn("is_train", F.col("i") < F.col("n_train"))
+    sizes = sizes.withColumn("last_i", F.col("n") - 1)
+    return attach(panel.select(KEY, "ts", "i", "y"), sizes).withColumn("is_train", F.col("i") < F.col("n_train"))
 
 
 def train_rows(parts: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.operators.quantiles import quantiles
-from seriesloom.panel import KEY, in_halo, near, own_rows, renumber, with_halo, with_neighbours
+from seriesloom.panel import KEY, attach, in_halo, near, own_rows, renumber, with_halo, with_neighbours
 
 # Wording of the step log.
 FILL_NAMES = {
@@ -29,8 +29,8 @@ def fill_missing(panel: DataFrame, method: str = "ffill") -> DataFrame:
     if method == "drop":
         return renumber(panel.where(F.col("y").isNotNull()))
     if method == "mean":
-        means = panel.groupBy(KEY).agg(F.avg("y").alias("mean"))
-        return panel.join(means, KEY).withColumn("y", F.coalesce("y", "mean")).drop("mean")
+        means = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.max("i").alias("last_i"))
+        return attach(panel, means).withColumn("y", F.coalesce("y", "mean")).drop("mean")
     if method not in ("ffill", "bfill", "interpolate"):
         return panel
     before, after = F.col("prev.v"), F.col("next.v")
@@ -49,7 +49,7 @@ def iqr_bounds(panel: DataFrame, threshold: float) -> DataFrame:
     """Quartile fences per series."""
     spread = threshold * (F.col("q3") - F.col("q1"))
     return quantiles(panel, {"q1": 0.25, "q3": 0.75}).select(
-        KEY, (F.col("q1") - spread).alias("lower"), (F.col("q3") + spread).alias("upper")
+        KEY, "last_i", (F.col("q1") - spread).alias("lower"), (F.col("q3") + spread).alias("upper")
     )
 
 
@@ -57,12 +57,12 @@ def flag_outliers(panel: DataFrame, method: str = "clip", threshold: float = 3.0
     """Add ``outlier`` and ``repaired``, the value each row takes after treatment."""
     y = F.col("y")
     if method == "clip":
-        joined = panel.join(iqr_bounds(panel, threshold), KEY, "left")
+        joined = attach(panel, iqr_bounds(panel, threshold), "left")
         hit = (y < F.col("lower")) | (y > F.col("upper"))
         fixed = F.when(y < F.col("lower"), F.col("lower")).when(y > F.col("upper"), F.col("upper")).otherwise(y)
     elif method == "zscore":
         stats = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"))
-        joined = panel.join(stats, KEY).join(quantiles(panel, {"median": 0.5}), KEY, "left")
+        joined = attach(panel, stats.join(quantiles(panel, {"median": 0.5}), KEY), "left")
         hit = F.abs(F.try_divide(y - F.col("mean"), F.col("sd"))) > threshold
         fixed = F.when(hit, F.col("median")).otherwise(y)
     else:
@@ -84,7 +84,11 @@ def scale(panel: DataFrame, method: str = "none") -> DataFrame:
     if method not in ("standard", "minmax", "log"):
         return panel
     stats = panel.groupBy(KEY).agg(
-        F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"), F.min("y").alias("least"), F.max("y").alias("most")
+        F.avg("y").alias("mean"),
+        F.stddev_pop("y").alias("sd"),
+        F.min("y").alias("least"),
+        F.max("y").alias("most"),
+        F.max("i").alias("last_i"),
     )
     y = F.col("y")
     # a series without spread scales to 0, a null stays null
@@ -94,7 +98,7 @@ def scale(panel: DataFrame, method: str = "none") -> DataFrame:
         "minmax": F.coalesce(F.try_divide(y - F.col("least"), F.col("most") - F.col("least")), flat),
         "log": F.ln(y + log_offset(F.col("least"))),
     }[method]
-    return panel.join(stats, KEY).withColumn("y", scaled).select(*panel.columns)
+    return attach(panel, stats).withColumn("y", scaled).select(*panel.columns)
 
 
 def difference(panel: DataFrame, order: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ from seriesloom.operators.decompose import component_variances, decompose, stren
 from seriesloom.operators.quality import seasonal_period
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.operators.stationarity import adf
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 from seriesloom.session import written
 
 TREND_PERIOD = 12
@@ -74,7 +74,7 @@ def quantile_features(panel: DataFrame, threshold: float = 1.5) -> DataFrame:
     spread = threshold * (F.col("q3") - F.col("q1"))
     hit = (F.col("y") < F.col("q1") - spread) | (F.col("y") > F.col("q3") + spread)
     return (
-        panel.join(marks, KEY)
+        attach(panel, marks)
         .groupBy(KEY)
         .agg(
             F.first("median").alias("median"),
@@ -130,7 +130,7 @@ def trend_strength(panel: DataFrame, line: DataFrame) -> DataFrame:
 
 def seasonality_features(panel: DataFrame, frequencies: DataFrame) -> DataFrame:
     periods = frequencies.select(KEY, seasonal_period(F.col("frequency")).alias("period"))
-    parts = component_variances(decompose(panel.join(periods, KEY), "period"))
+    parts = component_variances(decompose(attach(panel, periods), "period"))
     share = F.coalesce(strength(F.col("seasonal_var"), F.col("resid_var")), F.lit(0.0))
     return periods.join(parts, KEY, "left").select(
         KEY,
@@ -169,10 +169,10 @@ def profile(panel: DataFrame, frequencies: DataFrame, adf_max_lag: int | None =
     The panel is read several times, so hand in a written table. One aggregation gives size,
     moments and trend line, one window pass all lag products and changes.
     """
-    whole = written(panel.groupBy(KEY).agg(*_basic_columns(), *_moment_columns(), *_line_columns()), "sums")
+    whole = written(panel.groupBy(KEY).agg(*_basic_columns(), *_moment_columns(), *_line_columns(), F.max("i").alias("last_i")), "sums")
     line = _tested_line(whole.select(KEY, "points", "slope", "intercept", "r"))
-    lags = from_sums(lag_pass(panel, stats=whole.select(KEY, "mean", F.col("dataset_size").alias("n"))))
-    joined = whole.drop("points", "slope", "intercept", "r").join(frequencies.select(KEY, "frequency"), KEY, "left")
+    lags = from_sums(lag_pass(panel, stats=whole.select(KEY, "mean", F.col("dataset_size").alias("n"), "last_i")))
+    joined = whole.drop("points", "slope", "intercept", "r", "last_i").join(frequencies.select(KEY, "frequency"), KEY, "left")
     for part in (
         quantile_features(panel),
         trend_flags(line),

@@ -40,7 +40,7 @@ def detect_frequency(panel: DataFrame) -> DataFrame:
     gaps = own_rows(with_halo(panel.select(KEY, "ts", "i"), back=1).withColumn("gap", gap))
     medians = quantiles(gaps, {"median_gap": 0.5}, value="gap")
     every = panel.select(KEY).distinct()
-    return every.join(medians, KEY, "left").select(
+    return every.join(medians.drop("last_i"), KEY, "left").select(
         KEY,
         F.col("median_gap").alias("median_gap_seconds"),
         _pick(F.col("median_gap"), 1).alias("frequency"),
@@ -90,4 +90,4 @@ def basic_stats(panel: DataFrame) -> DataFrame:
         F.max(y).alias("max"),
         (F.max(y) - F.min(y)).alias("range"),
     )
-    return stats.join(quantiles(panel, {"median": 0.5}), KEY, "left")
+    return stats.join(quantiles(panel, {"median": 0.5}).drop("last_i"), KEY, "left")

@@ -12,18 +12,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 
 ACCURACY = 10_000
 SLACK = 4.0 / ACCURACY
+SALTS = 16
 
 
 def quantiles(
     df: DataFrame, want: Mapping[str, float], value: str = "y", keys: Sequence[str] = (KEY,)
 ) -> DataFrame:
-    """One row per key with a column for each name in ``want`` (name -> probability)."""
+    """One row per key with a column for each name in ``want`` (name -> probability).
+
+    Rows that carry their position also give ``last_i``, for attaching the result to them.
+    """
     keys = list(keys)
-    source = df.select(*keys, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull())
+    placed = "i" in df.columns and keys == [KEY]
+    extra = ["i"] if placed else []
+    source = df.select(*keys, *extra, F.col(value).cast("double").alias("v"))
+    # the last position counts rows without a value too
+    tail = [F.max("i").alias("last_i")] if placed else []
     lows = [max(0.0, p - SLACK) for p in want.values()]
     highs = [min(1.0, p + SLACK) for p in want.values()]
     marks = source.groupBy(*keys).agg(
@@ -31,7 +39,9 @@ def quantiles(
         F.min("v").alias("least"),
         F.max("v").alias("most"),
         F.percentile_approx("v", lows + highs, ACCURACY).alias("marks"),
+        *tail,
     )
+    source = source.where(F.col("v").isNotNull()).withColumn("weight", F.lit(1).cast("long"))
     whole = F.col("n") <= ACCURACY
     brackets = [
         F.struct(
@@ -42,14 +52,23 @@ def quantiles(
         )
         for j, (name, p) in enumerate(want.items())
     ]
-    spec = marks.select(*keys, "n", F.inline(F.array(*brackets)))
+    reach = ["last_i"] if placed else []
+    spec = marks.select(*keys, *reach, "n", F.inline(F.array(*brackets)))
+    if placed:
+        met = attach(source, spec.withColumn("end_i", F.col("last_i")))
+        reach = ["end_i"]
+    else:
+        salt = F.pmod(F.xxhash64("v"), F.lit(SALTS))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        # equal values fold first, so that a value shared by many rows does not fill one salt
+        folded = source.groupBy(*keys, "v").agg(F.sum("weight").alias("weight"))
+        met = folded.withColumn("salt", salt.cast("int")).join(spec.withColumn("salt", salts), [*keys, "salt"])
     inside = F.col("v") >= F.col("lo")
     counted = (
-        source.join(spec, keys)
-        .where(F.col("v") <= F.col("hi"))
+        met.where(F.col("v") <= F.col("hi"))
         .withColumn("v", F.when(inside, F.col("v")))
-        .groupBy(*keys, "name", "p", "n", "v")
-        .agg(F.count("*").alias("rows"))
+        .groupBy(*keys, *reach, "name", "p", "n", "v")
+        .agg(F.sum("weight").alias("rows"))
     )
     # the null row counts everything below the bracket and sorts first
     order = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
@@ -58,10 +77,11 @@ def quantiles(
     ranked = counted.withColumn("upto", upto).withColumn("rank", rank)
     covers = lambda r: (r >= F.col("upto") - F.col("rows")) & (r < F.col("upto"))
     lower, upper = F.floor("rank"), F.ceil("rank")
-    picked = ranked.groupBy(*keys, "name", "rank").agg(
+    picked = ranked.groupBy(*keys, *reach, "name", "rank").agg(
         F.max(F.when(covers(lower), F.col("v"))).alias("a"), F.max(F.when(covers(upper), F.col("v"))).alias("b")
     )
     value_at = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
     return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == name, value_at)).alias(name) for name in want]
+        *[F.max(F.when(F.col("name") == name, value_at)).alias(name) for name in want],
+        *([F.max("end_i").alias("last_i")] if placed else []),
     )

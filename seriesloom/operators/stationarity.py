@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.functions.blocks import block_vectors, rows_to_pandas
 from seriesloom.functions.mathx import KPSS_POINTS, dickey_fuller_p, solve_normal
-from seriesloom.panel import KEY, with_running_sum
-from seriesloom.session import block_rows
+from seriesloom.panel import KEY, attach, with_running_sum
+from seriesloom.session import block_rows, written
 
 # Longest lag order a halo serves; the lag rule reaches it near 1e12 rows per series.
 LAG_REACH = 4_096
@@ -36,10 +36,10 @@ def adf_sums(panel: DataFrame, max_lag: int | None = None) -> DataFrame:
     The series is standardised first; the statistic does not change with scale or level.
     """
     stats = panel.groupBy(KEY).agg(
-        F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"), F.count("y").alias("n")
+        F.avg("y").alias("mean"), F.stddev_pop("y").alias("sd"), F.count("y").alias("n"), F.max("i").alias("last_i")
     )
     z = F.try_divide(F.col("y") - F.col("mean"), F.col("sd"))
-    rows = panel.join(stats, KEY).where((F.col("n") >= 4) & (F.col("sd") > 0)).select(KEY, "i", "n", z.alias("z"))
+    rows = attach(panel, stats).where((F.col("n") >= 4) & (F.col("sd") > 0)).select(KEY, "i", "n", z.alias("z"))
     reach = min(block_rows(panel.sparkSession), LAG_REACH)
 
     def kernel(pdf, own):
@@ -107,53 +107,43 @@ def adf(panel: DataFrame, max_lag: int | None = None) -> DataFrame:
     )
 
 
-def _bartlett_total(sums: DataFrame, lag) -> DataFrame:
-    """Sum over k = 1..lag of (1 - k/(lag+1)) * sum_t e_t e_(t-k), per series, for any lag.
+def _lagged_totals(sums: DataFrame, lag) -> DataFrame:
+    """Per series, over lags k = 1..lag of c_k = sum_t e_t e_(t-k): flat, the plain sum of c_k, and
+    weighted, the sum of (1 - k/(lag+1)) c_k. The lag may be any number and differ per series.
 
-    That weighted sum follows from squared rolling sums of length lag+1, and these are
+    The weighted sum follows from squared rolling sums of length lag+1. Rolling sums are
     differences of the running sum, so two positions of a series meet in an equi-join.
     """
     cut = sums.withColumn("lag", lag.cast("long"))
     back = sums.select(KEY, F.col("i").alias("j"), F.col("s").alias("s_back"))
     met = cut.withColumn("j", F.col("i") - F.col("lag") - 1).join(back, [KEY, "j"], "left")
-    inside = F.col("s") - F.coalesce("s_back", F.lit(0.0))
+    e, s, old = F.col("e"), F.col("s"), F.coalesce("s_back", F.lit(0.0))
     # windows that reach past the end only lose rows: the total of all residuals is 0
-    past = F.when(F.col("i") >= F.col("n") - F.col("lag") - 1, F.col("s") * F.col("s")).otherwise(0.0)
-    squares = F.sum(inside * inside + past)
-    width = F.col("lag") + 1
-    return met.groupBy(KEY, "n", "lag").agg(
-        squares.alias("squares"), F.sum(F.col("e") * F.col("e")).alias("e2")
-    ).select(KEY, "n", "lag", "e2", ((F.col("squares") / width - F.col("e2")) / 2).alias("weighted"))
+    past = F.when(F.col("i") >= F.col("n") - F.col("lag") - 1, s * s).otherwise(0.0)
+    totals = met.groupBy(KEY, "n", "lag").agg(
+        F.sum((s - old) * (s - old) + past).alias("squares"),
+        F.sum(e * e).alias("e2"),
+        F.sum(e * (s - e - old)).alias("flat"),
+        F.sum(s * s).alias("s2"),
+        F.max("i").alias("last_i"),
+    )
+    return totals.withColumn("weighted", (F.col("squares") / (F.col("lag") + 1) - F.col("e2")) / 2)
 
 
 def kpss(panel: DataFrame) -> DataFrame:
     """Level-stationarity test with the data-driven lag of Hobijn et al.; p from tabulated points."""
-    stats = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.count("y").alias("n"))
-    rows = panel.select(KEY, "i", "y").join(stats, KEY).select(KEY, "i", "n", (F.col("y") - F.col("mean")).alias("e"))
-    sums = with_running_sum(rows, "e", "s")
-
-    first = F.floor(F.pow(F.col("n").cast("double"), F.lit(2.0 / 9.0)) + 1e-12)
-    near_ = _bartlett_total(sums, first)
-    # flat sum over the same lags: sum_t e_t * (s_(t-1) - s_(t-1-lag))
-    cut = sums.withColumn("lag", first.cast("long")).withColumn("j", F.col("i") - F.col("lag") - 1)
-    back = sums.select(KEY, F.col("i").alias("j"), F.col("s").alias("s_back"))
-    flat = (
-        cut.join(back, [KEY, "j"], "left")
-        .groupBy(KEY)
-        .agg(F.sum(F.col("e") * (F.col("s") - F.col("e") - F.coalesce("s_back", F.lit(0.0)))).alias("flat"))
-    )
-    slopes = near_.join(flat, KEY).select(
-        KEY,
-        ((F.col("lag") + 1) * (F.col("flat") - F.col("weighted")) * 2).alias("s1"),
-        (F.col("e2") + 2 * F.col("flat")).alias("s0"),
-    )
-    ratios = slopes.select(KEY, F.coalesce(F.try_divide(F.col("s1"), F.col("s0")), F.lit(0.0)).alias("ratio"))
-    n, ratio = F.col("n").cast("double"), F.col("ratio")
-    width = F.floor(1.1447 * F.cbrt(ratio * ratio) * F.cbrt(n))
-    spread = _bartlett_total(sums.join(ratios, KEY), F.least(width, F.col("n") - 1))
-    eta = sums.groupBy(KEY).agg(F.sum(F.col("s") * F.col("s")).alias("s2"))
+    stats = panel.groupBy(KEY).agg(F.avg("y").alias("mean"), F.count("y").alias("n"), F.max("i").alias("last_i"))
+    rows = attach(panel.select(KEY, "i", "y"), stats).select(KEY, "i", "n", (F.col("y") - F.col("mean")).alias("e"))
+    sums = written(with_running_sum(rows, "e", "s"), "running")
+    n = F.col("n").cast("double")
+
+    short = _lagged_totals(sums, F.floor(F.pow(n, F.lit(2.0 / 9.0)) + 1e-12))
+    slope = 2 * (F.col("lag") + 1) * (F.col("flat") - F.col("weighted"))
+    ratio = F.coalesce(F.try_divide(slope, F.col("e2") + 2 * F.col("flat")), F.lit(0.0))
+    width = F.floor(1.1447 * F.cbrt(F.col("ratio") * F.col("ratio")) * F.cbrt(n))
+    wide = _lagged_totals(attach(sums, short.select(KEY, "last_i", ratio.alias("ratio"))), F.least(width, F.col("n") - 1))
     variance = (F.col("e2") + 2 * F.col("weighted")) / n
-    tested = spread.join(eta, KEY).select(
+    tested = wide.select(
         KEY, F.try_divide(F.col("s2") / (n * n), variance).alias("kpss_statistic"), F.col("lag").alias("kpss_lag")
     )
     return tested.withColumn("kpss_p_value", _interpolated_p(F.col("kpss_statistic")))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seriesloom.operators.decompose import decompose
 from seriesloom.operators.prep import scale
 from seriesloom.operators.quantiles import quantiles
-from seriesloom.panel import KEY, in_halo, near, own_rows, with_halo
+from seriesloom.panel import KEY, attach, in_halo, near, own_rows, with_halo
 from seriesloom.session import written
 
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.05, 42
@@ -25,9 +25,9 @@ STEPS, COMPONENTS, DEVIATIONS = 30, 4, 2.0
 def residual_scores(panel: DataFrame, period: int | str) -> DataFrame:
     """Decomposition residual of every row with its z-score, sample deviation."""
     parts = decompose(panel, period).where(F.col("resid").isNotNull())
-    stats = parts.groupBy(KEY).agg(F.avg("resid").alias("centre"), F.stddev_samp("resid").alias("spread"))
+    stats = parts.groupBy(KEY).agg(F.avg("resid").alias("centre"), F.stddev_samp("resid").alias("spread"), F.max("i").alias("last_i"))
     z = F.try_divide(F.col("resid") - F.col("centre"), F.col("spread"))
-    return parts.join(stats, KEY).select(KEY, "ts", "i", "y", "resid", z.alias("z"))
+    return attach(parts, stats).select(KEY, "ts", "i", "y", "resid", z.alias("z"))
 
 
 def residual_anomalies(panel: DataFrame, period: int | str, threshold: float = 3.0) -> DataFrame:
@@ -88,10 +88,11 @@ def isolation_forest(
     names = ["lag_1", "rolling_mean", "rolling_std"]
     rows = isolation_features(panel)
     stats = rows.groupBy(KEY).agg(
-        *[f(c).alias(f"{c}_{tag}") for c in names for f, tag in ((F.avg, "avg"), (F.stddev_pop, "sd"))]
+        *[f(c).alias(f"{c}_{tag}") for c in names for f, tag in ((F.avg, "avg"), (F.stddev_pop, "sd"))],
+        F.max("i").alias("last_i"),
     )
     z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_avg"), F.col(f"{c}_sd")), F.lit(0.0)).alias(f"z_{c}") for c in names]
-    scaled = written(rows.join(stats, KEY).select(*rows.columns, *z), "isolation")
+    scaled = written(attach(rows, stats).select(*rows.columns, *z), "isolation")
     inputs = [f"z_{c}" for c in names]
 
     drawn = scaled.select(KEY, "i", *inputs, F.xxhash64(KEY, "i", F.lit(seed)).alias("draw"))
@@ -143,7 +144,7 @@ def isolation_forest(
         scaled.mapInPandas(score, f"{KEY} string, ts timestamp_ntz, i long, y double, score double"), "scores"
     )
     cuts = quantiles(scored, {"cut": 1 - contamination}, value="score")
-    return scored.join(cuts, KEY).select(
+    return attach(scored, cuts).select(
         KEY, "ts", "i", "y", "score", (F.col("score") > F.col("cut")).alias("is_anomaly")
     )
 
@@ -179,5 +180,5 @@ def reconstruction_errors(panel: DataFrame, steps: int = STEPS, components: int
 
 def over_threshold(errors: DataFrame, value: str = "mse", deviations: float = DEVIATIONS) -> DataFrame:
     """Flag rows above mean + deviations x population deviation of their series."""
-    cuts = errors.groupBy(KEY).agg((F.avg(value) + deviations * F.stddev_pop(value)).alias("threshold"))
-    return errors.join(cuts, KEY).withColumn("is_anomaly", F.col(value) > F.col("threshold"))
+    cuts = errors.groupBy(KEY).agg((F.avg(value) + deviations * F.stddev_pop(value)).alias("threshold"), F.max("i").alias("last_i"))
+    return attach(errors, cuts).withColumn("is_anomaly", F.col(value) > F.col("threshold"))

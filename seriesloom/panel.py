@@ -96,17 +96,18 @@ def with_neighbours(df: DataFrame, value: str = "y") -> DataFrame:
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("i"), F.col(value).alias("v")))
     rows = with_block(df).withColumn("known", known)
     edges = rows.groupBy(KEY, "blk").agg(F.max("known").alias("last_known"), F.min("known").alias("first_known"))
-    blocks = Window.partitionBy(KEY).orderBy("blk")
+    # looking ahead runs backwards from the end: a frame that only grows costs one step per row
+    blocks, inside = Window.partitionBy(KEY), Window.partitionBy(KEY, "blk")
+    before, upto = (Window.unboundedPreceding, -1), (Window.unboundedPreceding, 0)
     edges = edges.select(
         KEY,
         "blk",
-        F.last("last_known", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_prev"),
-        F.first("first_known", True).over(blocks.rowsBetween(1, Window.unboundedFollowing)).alias("carry_next"),
+        F.last("last_known", True).over(blocks.orderBy("blk").rowsBetween(*before)).alias("carry_prev"),
+        F.last("first_known", True).over(blocks.orderBy(F.desc("blk")).rowsBetween(*before)).alias("carry_next"),
     )
-    inside = Window.partitionBy(KEY, "blk").orderBy("i")
     return (
-        rows.withColumn("prev", F.last("known", True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("next", F.first("known", True).over(inside.rowsBetween(0, Window.unboundedFollowing)))
+        rows.withColumn("prev", F.last("known", True).over(inside.orderBy("i").rowsBetween(*upto)))
+        .withColumn("next", F.last("known", True).over(inside.orderBy(F.desc("i")).rowsBetween(*upto)))
         .join(edges, [KEY, "blk"])
         .withColumn("prev", F.coalesce("prev", "carry_prev"))
         .withColumn("next", F.coalesce("next", "carry_next"))
@@ -145,5 +146,19 @@ def renumber(df: DataFrame) -> DataFrame:
     )
 
 
+def attach(rows: DataFrame, stats: DataFrame, how: str = "inner") -> DataFrame:
+    """Join values per series to rows.
+
+    A join on the series alone would bring all rows of one series to one task. The values are
+    repeated once per block instead (column ``last_i``, taken from the rows when it is missing,
+    says how far a series goes), and the join runs on series and block.
+    """
+    if "last_i" not in stats.columns:
+        stats = stats.join(rows.groupBy(KEY).agg(F.max("i").alias("last_i")), KEY)
+    last = F.expr(f"last_i div {block_rows(rows.sparkSession)}").cast("long")
+    spread = stats.withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("last_i")
+    return with_block(rows).join(spread, [KEY, "blk"], how).drop("blk")
+
+
 def lengths(panel: DataFrame) -> DataFrame:
     return panel.groupBy(KEY).agg(F.count("*").alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seriesloom.operators.prep import PrepOptions, preprocess
 from seriesloom.operators.profile import profile
 from seriesloom.operators.quality import detect_frequency, validate
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 from seriesloom.session import written
 
 
@@ -31,7 +31,7 @@ def analyze(panel: DataFrame, options: PrepOptions = PrepOptions(), adf_max_lag:
     written once, since every part of the profile reads it.
     """
     checks = validate(panel)
-    valid = panel.join(checks.where("is_valid").select(KEY), KEY, "left_semi")
+    valid = attach(panel, checks.where("is_valid").select(KEY), "left_semi")
     processed, log = preprocess(valid, options)
     processed = written(processed, "processed")
     frequencies = written(detect_frequency(valid), "frequencies")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesloom.operators.forecast import additive, arima, ets, naive
-from seriesloom.panel import KEY
+from seriesloom.panel import KEY, attach
 
 PREDICTORS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
     "SARIMA": arima.predict,
@@ -51,7 +51,7 @@ def score_saved(params: DataFrame, name: str, panel: DataFrame, trained_rows: Da
 
     ``trained_rows`` (series_id, n_train) says where the fitted series ended; step 1 follows it.
     """
-    future = panel.select(KEY, "ts", "y", (F.col("i") + 1).alias("h")).join(trained_rows, KEY)
+    future = attach(panel.select(KEY, "ts", "y", "i", (F.col("i") + 1).alias("h")), trained_rows)
     future = future.withColumn("i", F.col("n_train") + F.col("h") - 1)
     made = _predictor(name)(params, future)
     return future.select(KEY, "h", "ts", F.col("y").alias("actual")).join(
