@@ -47,6 +47,9 @@ def _start(y: np.ndarray, m: int):
 def smooth_forward(y: np.ndarray, phase0: int, m: int, rates: np.ndarray, count_from: int):
     """Return (squared error from count_from on, level, slope, season by phase, one-step fits)."""
     alpha, trend_rate, gamma = rates[:, 0], rates[:, 0] * rates[:, 1], rates[:, 2]
+    if m > 1:
+        # a seasonal rate above 1 - alpha would not be stable
+        gamma = np.minimum(gamma, 0.9 * (1 - alpha))
     level0, slope0, offsets = _start(y, m)
     level, slope = np.full(len(rates), level0), np.full(len(rates), slope0)
     season = np.zeros((m, len(rates)))
@@ -83,8 +86,10 @@ def fit(train: DataFrame, seasonal: bool = True, value: str = "y") -> DataFrame:
         y = pdf["y"].to_numpy(float)
         if n < least(m) or y.size < least(m):
             return vec
-        sse, level, slope, season, _ = smooth_forward(y, int(pdf["i"].iloc[0]) % m, m, rates, int(np.argmax(own)))
-        vec[:g] = sse
+        # a grid point that diverges on this series loses by its squared error
+        with np.errstate(over="ignore", invalid="ignore"):
+            sse, level, slope, season, _ = smooth_forward(y, int(pdf["i"].iloc[0]) % m, m, rates, int(np.argmax(own)))
+        vec[:g] = np.where(np.isnan(sse) & np.isfinite(y).all(), np.inf, sse)
         if pdf["i"].iloc[-1] == n - 1:
             vec[g:] = np.concatenate([level, slope, season.ravel()])
         return vec
@@ -95,7 +100,7 @@ def fit(train: DataFrame, seasonal: bool = True, value: str = "y") -> DataFrame:
         vec = np.asarray(row["vec"], float)
         if n < least(m):
             return {**out, "error": "fewer rows than two seasons"}
-        if not np.isfinite(vec).all():
+        if np.isnan(vec[:g]).any():
             return {**out, "error": "series has missing values"}
         best = int(np.argmin(vec[:g]))
         state = vec[g:].reshape(2 + m, g)[:, best]

@@ -13,7 +13,7 @@ from seriesloom.operators.forecast import arima, boosted, naive
 from seriesloom.operators.forecast.split import metrics, metrics_frame, rank_models, split, holdout_rows, train_rows
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.operators.tasks import anomalies, classify, cluster, sequences
-from seriesloom.panel import KEY, lengths
+from seriesloom.panel import KEY, attach, lengths
 from seriesloom.plans.analyze import analyze
 from seriesloom.plans.benchmark import ALL, FAST, Bench, compare, forecast_frame
 from seriesloom.sources import files, models
@@ -399,7 +399,7 @@ def decomposition(spark, sf):
     """With the period of each series' frequency."""
     panel = stored(spark, sf, hourly)
     periods = frequencies_of(spark, sf, hourly).select(KEY, quality.seasonal_period(F.col("frequency")).alias("season"))
-    return tidy(decompose.decompose(panel.join(periods, KEY), "season"), 6)
+    return tidy(decompose.decompose(attach(panel, periods), "season"), 10)
 
 
 @query

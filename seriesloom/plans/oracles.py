@@ -505,7 +505,7 @@ SQL["features_json"] = sql(
 _PARTS = ("y", "trend", "seasonal", "resid")
 SQL["decomposition"] = sql(
     f"{HOURLY}, {FREQ}, {by_frequency()}",
-    "SELECT series_id, ts, i, CAST(period AS BIGINT) AS period, " + ", ".join(r(c, 6, c) for c in _PARTS) + " FROM season_parts",
+    "SELECT series_id, ts, i, CAST(period AS BIGINT) AS period, " + ", ".join(r(c, 10, c) for c in _PARTS) + " FROM season_parts",
 )
 SQL["decomposition_daily"] = sql(
     f"{DAILY}, {decomposed('d7', 'panel', 7)}",
