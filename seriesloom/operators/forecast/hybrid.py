@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,10 +17,13 @@ RESIDUAL_LAGS = (1, 2, 3)
 RESIDUAL_DEPTH = 3
 
 
-def fit_seasonal_ets(train: DataFrame) -> DataFrame:
-    """Deseasonalise by decomposition, smooth the rest, keep the seasonal pattern of the last season."""
+def fit_seasonal_ets(train: DataFrame, candidates: Sequence[int] | None = None) -> DataFrame:
+    """Deseasonalise by decomposition, smooth the rest, keep the seasonal pattern of the last season.
+
+    ``candidates`` lists the season lengths in use when they are not those of the frequency table.
+    """
     sizes = train.select(KEY, "i", "n_train", "season")
-    parts = decompose(train, "season")
+    parts = decompose(train, "season", candidates)
     adjusted = parts.join(sizes, [KEY, "i"]).withColumn("adjusted", F.col("y") - F.col("seasonal"))
     smooth = ets.fit(adjusted.where("seasonal is not null"), seasonal=False, value="adjusted")
     pattern = naive.last_season(adjusted.where("seasonal is not null"), value="seasonal")

@@ -710,6 +710,12 @@ deep AS (SELECT series_id, max(n_train) AS n, CASE
   WHEN max(n_train) - 13 - 13 - 12 >= 18 THEN 25 ELSE 14 END AS depth FROM w GROUP BY 1)""",
     f"SELECT w.series_id, {r('sqrt(sum(w * w))', 3, 'root_sum')} FROM w JOIN deep USING (series_id) WHERE i >= 13 + depth GROUP BY 1",
 )
+SQL["benchmark_failed"] = sql(
+    f"{MONTHLY}, sized AS (SELECT series_id, floor(count(*) * 0.8) AS n_train FROM panel GROUP BY 1)",
+    """SELECT series_id, 'Exponential Smoothing' AS model, 'failed' AS status, 'fewer rows than two seasons' AS error FROM sized WHERE n_train < 104
+UNION ALL SELECT series_id, 'STL + ETS (Hybrid)', 'failed', 'fewer rows than two seasons' FROM sized WHERE n_train < 104
+UNION ALL SELECT series_id, 'SARIMA', 'failed', 'too few observations for the model' FROM sized WHERE n_train - 53 - 54 < 8""",
+)
 _LAGGED = ", ".join(f"lag(y, {k}) OVER {W} AS lag_{k}" for k in (1, 2, 3, 7, 14))
 SQL["lag_frame"] = sql(
     f"{SPLIT}, lagged AS (SELECT series_id, ts, i, n, y, {_LAGGED} FROM parts)",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seriesloom.panel import KEY, clean_value, index_calendar, index_rows
 
+# units coarse enough for the calendar to bound a series
+COARSE = ("hour", "day", "week", "month", "quarter", "year")
 FOLDS = {"sum": F.sum, "avg": F.avg, "count": F.count, "min": F.min, "max": F.max}
 
 
@@ -15,7 +17,10 @@ def _col(c) -> Column:
 
 
 def build_panel(df: DataFrame, key, ts, value, unit: str, how: str = "sum") -> DataFrame:
-    """One series per key, one row per calendar unit; raw rows fold map-side before the shuffle."""
+    """One series per key, one row per calendar unit; raw rows fold map-side before the shuffle.
+
+    Units below the hour can give series of any length and are ranked like raw rows.
+    """
     slot = F.date_trunc(unit, _col(ts)).cast("timestamp_ntz")
     folded = (
         df.select(_col(key).cast("string").alias(KEY), slot.alias("ts"), clean_value(_col(value)).alias("y"))
@@ -23,11 +28,13 @@ def build_panel(df: DataFrame, key, ts, value, unit: str, how: str = "sum") -> D
         .groupBy(KEY, "ts")
         .agg(FOLDS[how]("y").cast("double").alias("y"))
     )
-    return index_calendar(folded)
+    return index_calendar(folded) if unit in COARSE else index_rows(folded)
 
 
 def densify(panel: DataFrame, unit: str) -> DataFrame:
     """Add a null row for every calendar unit a series skips between its first and last row."""
+    if unit not in COARSE:
+        raise ValueError(f"densify works on {', '.join(COARSE)}")
     spans = panel.groupBy(KEY).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
     grid = spans.select(KEY, F.explode(F.expr(f"sequence(lo, hi, interval 1 {unit})")).alias("ts"))
     return index_calendar(grid.join(panel.select(KEY, "ts", "y"), [KEY, "ts"], "left"))

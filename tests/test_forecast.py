@@ -88,6 +88,8 @@ def test_additive_and_seasonal_smoothing(panel_of, spark):
     t = np.arange(730)
     y = 50 + 0.05 * t + 6 * np.sin(2 * np.pi * t / 7)
     parts = split(panel_of({"a": y}), 0.8, seasons(spark, a=7))
+    odd = values_of(ets.predict(hybrid.fit_seasonal_ets(train_rows(split(panel_of({"a": y}), 0.8, seasons(spark, a=14))), [14]), holdout_rows(parts)), "yhat")
+    assert np.abs(np.array(odd) - y[584:]).mean() < 0.6
     for fit, predict in ((additive.fit, additive.predict), (hybrid.fit_seasonal_ets, ets.predict)):
         got = np.array(values_of(predict(fit(train_rows(parts)), holdout_rows(parts)), "yhat"))
         assert np.abs(got - y[584:]).mean() < 0.6

@@ -4,7 +4,7 @@ import pytest
 
 from seriesloom.operators import prep, quality
 from seriesloom.operators.quantiles import quantiles
-from seriesloom.sources.panels import prepare
+from seriesloom.sources.panels import build_panel, densify, prepare
 from tests.conftest import values_of
 
 GAPS = [None, None, 3.0, None, 7.0, None, None, 1.0, 4.0, None]
@@ -101,6 +101,14 @@ def test_validation_messages(spark, panel_of):
     assert text.errors == ["Target column must be numeric"]
 
 
+def test_fine_units_rank_like_raw_rows(spark):
+    rows = spark.range(300).selectExpr("'a' as k", "timestamp_ntz '2020-01-01' + make_dt_interval(0, 0, 0, id * 20) as t", "1.0D as v")
+    out = build_panel(rows, "k", "t", "v", "minute").orderBy("i").collect()
+    assert [r.i for r in out] == list(range(100)) and {r.y for r in out} == {3.0}
+    with pytest.raises(ValueError):
+        densify(build_panel(rows, "k", "t", "v", "minute"), "minute")
+
+
 def test_prepare_ranks_one_long_series_over_many_tasks(spark):
     n = 20_000
     rows = spark.range(n).selectExpr(
