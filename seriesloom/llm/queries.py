@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seriesloom.llm import language, quality_classifier, toxicity
+from seriesloom.llm import exact_dedup, language, line_dedup, quality_classifier, quality_rules, toxicity
 from seriesloom.llm.common import table
 
 
@@ -14,6 +15,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.decide(table(spark, sf_dir, "documents")).drop("kd", "kt")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -22,7 +31,78 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stripped = line_dedup.strip_lines(table(spark, sf_dir, "documents"))
+    return stripped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op8_toxicity, op9_language)
+    f.__name__: f
+    for f in (op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op8_toxicity, op9_language, op10_line_dedup)
+}
+
+# all white space of the contracts, inside a character class
+_WS = r"\x20\x09-\x0D"
+
+SQL: dict[str, str] = {
+    "op2_exact_dedup": rf"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n,
+                   regexp_replace(coalesce(text, ''), '[{_WS}]', '', 'g') AS body
+            FROM documents
+        ), k AS (
+            SELECT doc_id, body,
+                   first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY body) AS group_size
+            FROM t
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM k
+    """,
+    "op3_quality_rules": rf"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^{_WS}]+') AS words,
+                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_WS}]')) AS lines
+            FROM documents
+        ), w AS (
+            SELECT doc_id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS gram
+            FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM t)
+        ), r AS (
+            SELECT doc_id, count(DISTINCT i + j) AS n_repeat_words
+            FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM w), range(8) AS s(j)
+            WHERE n > 1 GROUP BY doc_id
+        ), c AS (
+            SELECT doc_id, text, len(words) AS n_words,
+                   length(regexp_replace(text, '[{_WS}]', '', 'g')) AS word_chars,
+                   length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+                   length(regexp_replace(text, '[^!]', '', 'g')) AS n_exclamations,
+                   length(regexp_replace(text, '[^\p{{Lu}}]', '', 'g')) AS n_capitals,
+                   len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines,
+                   coalesce(n_repeat_words, 0) AS n_repeat_words
+            FROM t LEFT JOIN r USING (doc_id)
+        ), b AS (
+            SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT (base_failed OR 100 * n_symbols > 10 * word_chars OR 100 * n_dup_lines > 30 * n_lines
+                    OR word_chars < 2 * n_words OR word_chars > 30 * n_words
+                    OR 2 * n_capitals > word_chars OR 5 * n_exclamations > word_chars) AS kept
+        FROM b
+    """,
+    "op10_line_dedup": rf"""
+        WITH l AS (
+            SELECT doc_id, i, lines[i] AS line,
+                   translate(regexp_replace(lines[i], '^[{_WS}]+|[{_WS}]+$', '', 'g'),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+        ), f AS (
+            SELECT key, max(doc_id) AS top FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+        ), m AS (
+            SELECT l.*, coalesce(doc_id < top, false) AS lost FROM l LEFT JOIN f USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
 }
-SQL: dict[str, str] = {}
