@@ -68,3 +68,15 @@ def gram_ids(text: str | None, bits: int) -> np.ndarray:
     """The distinct places of a text."""
     found = list(grams(text, bits))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
+
+
+def polynomial(data: np.ndarray) -> np.ndarray:
+    """Prefix sums from which substring_hashes takes the hash of any substring; at most 2 MiB of bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * _UP[: len(data)], out=sums[1:])
+    return sums
+
+
+def substring_hashes(sums: np.ndarray, start: np.ndarray, length) -> np.ndarray:
+    """Hashes of the substrings that begin at start and have the given length or lengths."""
+    return mix((sums[start + length] - sums[start]) * _DOWN[start])
