@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import exact_dedup, language, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from seriesloom.llm import byte_bpe, exact_dedup, language, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import table
 
 
@@ -33,6 +34,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents"), *vocabulary), *vocabulary)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("body", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op5_simhash, op6_suffix_dedup, op8_toxicity, op9_language, op10_line_dedup)
+    for f in (op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op5_simhash, op6_suffix_dedup, op7_byte_bpe, op8_toxicity, op9_language, op10_line_dedup)
 }
 
 # all white space of the contracts, inside a character class
