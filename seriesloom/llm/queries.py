@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, exact_dedup, language, line_dedup, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from seriesloom.llm import byte_bpe, exact_dedup, language, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.group(table(spark, sf_dir, "documents"))
     return grouped.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -31,7 +35,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffix_dedup.cut(table(spark, sf_dir, "documents"))
-    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return cut.select("rest.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +64,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op5_simhash, op6_suffix_dedup, op7_byte_bpe, op8_toxicity, op9_language, op10_line_dedup)
+    for f in (
+        op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op4_best_fit_packing, op5_simhash, op6_suffix_dedup,
+        op7_byte_bpe, op8_toxicity, op9_language, op10_line_dedup,
+    )
 }
 
 # all white space of the contracts, inside a character class

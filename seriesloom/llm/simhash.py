@@ -154,7 +154,7 @@ def pigeonring_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def group(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """doc_id, kt, fp and component_id (the smallest doc_id reachable), one row per row of docs."""
+    """doc_id, kt, fp, component_id (the smallest doc_id reachable) and top (a key of the component), one row per row of docs."""
     spark = ship_package(docs.sparkSession)
     scratch = Scratch(spark, "simhash")
     rows = scratch.write(fingerprints(docs, width), "rows")
@@ -174,5 +174,15 @@ def group(docs: DataFrame, width: int = WORDS) -> DataFrame:
     final = labelled.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     final = final.select("fp", "least", F.coalesce("top", "root").alias("top"))
     smallest = final.groupBy("top").agg(F.min("least").alias("component_id"))
-    members = scratch.write(final.join(smallest, "top").select("fp", "component_id"), "members")
-    return salted_left_join(rows, members, ["fp"], F.col("kt")).select("doc_id", "kt", "fp", "component_id")
+    members = scratch.write(final.join(smallest, "top").select("fp", "component_id", "top"), "members")
+    return salted_left_join(rows, members, ["fp"], F.col("kt")).select("doc_id", "kt", "fp", "component_id", "top")
+
+
+def keep_rows(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """One row of docs per component with all its columns: the one with the smallest doc_id, null last."""
+    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.withColumns({"_kd": F.coalesce(number, F.lit(0)), "_kt": F.xxhash64(number, text)})
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "kt"))
+    stay = group(docs, width).groupBy("top").agg(first.alias("f")).select(F.coalesce("f.doc_id", F.lit(0)).alias("_kd"), F.col("f.kt").alias("_kt"))
+    # rows with one key repeat id and text: one of them stays
+    return marked.join(stay, ["_kd", "_kt"], "left_semi").dropDuplicates(["_kd", "_kt"]).select(*[F.col(f"`{c}`") for c in docs.columns])

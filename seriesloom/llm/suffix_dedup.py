@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from seriesloom.llm.common import Scratch, keyed
+from seriesloom.llm.common import Scratch
 from seriesloom.llm.grams import polynomial, substring_hashes
 from seriesloom.llm.runs import SortedRuns
 from seriesloom.session import ship_package
@@ -138,6 +139,12 @@ def _expanded(texts: DataFrame, entries: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "k1 long, w long, kd long, kt long, at long, alone boolean")
 
 
+def _readable(column: str) -> Column:
+    """Valid UTF-8 from bytes: every broken part becomes a replacement character, which goes."""
+    text = F.col(column).cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def _copy(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The texts, bucketed by row key: they are joined twice and moved once."""
     spark, name = rows.sparkSession, f"texts_{uuid.uuid4().hex}"
@@ -148,10 +155,13 @@ def _copy(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def cut(docs: DataFrame) -> DataFrame:
-    """doc_id, kd, kt, n_bytes, n_removed, n_spans and kept (the remaining bytes), one row per row of docs."""
+    """rest (a struct of all columns but text), n_bytes, n_removed, n_spans and kept (the remaining bytes), one row per row of docs."""
     spark = ship_package(docs.sparkSession)
     scratch = Scratch(spark, "suffix-dedup")
-    texts = _copy(keyed(docs).select("doc_id", "kd", "kt", F.col("text").cast("binary").alias("body")), scratch)
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [F.coalesce(number, F.lit(0)).alias("kd"), F.xxhash64(number, text).alias("kt")]
+    texts = _copy(docs.select(*key, text.cast("binary").alias("body"), rest), scratch)
     places = scratch.write(_places(texts), "places")
     runs = SortedRuns(spark, scratch)
     for part in range(BATCHES):
@@ -170,19 +180,37 @@ def cut(docs: DataFrame) -> DataFrame:
     loose = single.where("alone").join(repeated, ["k1", "w"], "left_semi").select("kd", "kt", F.col("at").alias("lo"), F.lit(1).alias("len"))
     ranges = hits.where("NOT alone").select("kd", "kt", "lo", "len").unionByName(loose)
     gone = ranges.groupBy("kd", "kt").agg(F.collect_list(F.struct("lo", "len")).alias("ranges"))
-    names = ["doc_id", "kd", "kt", "n_bytes", "n_removed", "n_spans", "kept"]
+    joined = texts.join(gone, ["kd", "kt"], "left").select("rest", "body", "ranges")
+    schema = T.StructType([joined.schema["rest"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbers, kept = [], []
-            for body, found in zip(batch.column(3), batch.column(4).to_pylist()):
+            for body, found in zip(batch.column(1), batch.column(2).to_pylist()):
                 text = body.as_py()
                 spans = covered(len(text), {(r["lo"], r["len"]) for r in found or ()})
                 edges = [0, *(x for span in spans for x in span), len(text)]
                 kept.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 numbers.append((len(text), len(text) - len(kept[-1]), len(spans)))
             columns = [pa.array(c, pa.int64()) for c in (zip(*numbers) if numbers else [()] * 3)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns, pa.array(kept, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(kept, pa.binary())], names)
+
+    return joined.mapInArrow(run, schema)
 
-    joined = texts.join(gone, ["kd", "kt"], "left").select("doc_id", "kd", "kt", "body", "ranges")
-    return joined.mapInArrow(run, "doc_id long, kd long, kt long, n_bytes long, n_removed long, n_spans long, kept binary")
+
+def cut_rows(docs: DataFrame) -> DataFrame:
+    """docs with the remaining text, and n_chars, where there is such a column, of that text.
+
+    Characters of which only some bytes remain are left out of the text.
+    """
+    shortened = cut(docs).withColumn("_text", _readable("kept"))
+    columns = []
+    for c, kind in docs.dtypes:
+        if c == "text":
+            columns.append(F.col("_text").alias("text"))
+        elif c == "n_chars":
+            columns.append(F.length("_text").cast(kind).alias("n_chars"))
+        else:
+            columns.append(F.col(f"rest.`{c}`").alias(c))
+    return shortened.select(*columns)

@@ -124,27 +124,32 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, f
     return places, weights[places].astype(np.float32), float(weights[size])
 
 
+class Scorer:
+    """A trained model, ready to score whole texts."""
+
+    def __init__(self, places: np.ndarray, weights: np.ndarray, bias: float):
+        self.dense, self.bias = np.zeros(1 << BITS, np.float32), bias
+        self.dense[places] = weights
+        self.weighted = self.dense != 0
+
+    def score(self, text: str | None) -> float:
+        hits = [x[self.weighted[x]] for x in grams(text, BITS)]
+        total = self.dense[np.unique(np.concatenate(hits))].sum(dtype=np.float64) if hits else 0.0
+        return float(1 / (1 + np.exp(-np.clip(total + self.bias, -30, 30))))
+
+
 def score_texts(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """doc_id, kt (hash of id and text), score."""
+    """doc_id and score of every row."""
     spark = ship_package(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, values, bias = shared.value
-        dense = np.zeros(1 << BITS, np.float32)
-        dense[places] = values
-        weighted = dense != 0
-
-        def total(text: str) -> float:
-            hits = [x[weighted[x]] for x in grams(text, BITS)]
-            return dense[np.unique(np.concatenate(hits))].sum(dtype=np.float64) + bias if hits else bias
-
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            sums = np.array([total(x.as_py()) for x in batch.column(2)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(1 / (1 + np.exp(-np.clip(sums, -30, 30))))], ["doc_id", "kt", "score"])
+            scores = pa.array([scorer.score(x.as_py()) for x in batch.column(1)], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), scores], ["doc_id", "score"])
 
-    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(number, F.xxhash64(number, text), text).mapInArrow(run, "doc_id long, kt long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -153,3 +158,18 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1], F.lit(False)).alias("held_out")
     scored = score_texts(docs, train(docs, labels))
     return scored.select("doc_id", held, "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that are not predicted toxic, with all their columns."""
+    spark = ship_package(docs.sparkSession)
+    shared = spark.sparkContext.broadcast(train(docs, labels))
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(*shared.value)
+        for batch in batches:
+            keep = [scorer.score(x.as_py()) < THRESHOLD for x in batch.column(place)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
