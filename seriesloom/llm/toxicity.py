@@ -1,10 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed words, word pairs and skip-grams.
 
 Every coordinate has a learning rate of its own, and the L1 term keeps only weights that pay:
-the trained model is a short list of places and weights. Training is spread over SHARDS tasks:
-each round, a task goes through its rows from the common state, and a coordinate's new state is
-the mean over the tasks that met it. At most TRAIN_ROWS labelled rows are used, those with the
-smallest hash of their id; scoring reads every row and the whole text.
+the trained model is a short list of places and weights, which goes to all tasks. FTRL is sequential, so
+one task learns, PASSES times, from a bounded sample: at most TRAIN_ROWS labelled rows of at most
+TRAIN_CHARS characters, those with the smallest hash of their id. Scoring reads every row and the
+whole text.
 
 Defined cases: null and empty texts have no feature and get the score of the bias alone; rows with
 a null id are scored and never learned from; labels other than 0 and 1 are ignored; without labels
@@ -18,8 +18,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,21 +27,18 @@ from seriesloom.session import ship_package
 
 BITS = 20
 TRAIN_ROWS = 16_000
-SHARDS = 2
-ROUNDS = 3
-PASSES = 3
+TRAIN_CHARS = 100_000
+PASSES = 5
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 0.1
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
-# coordinates that travel together when the states of the tasks are averaged
-SLICE = 1024
 
 
 class Learner:
     """The FTRL state: gradient sums z and squared-gradient sums n; the last place is the bias."""
 
-    def __init__(self, z: np.ndarray, n: np.ndarray):
-        self.z, self.n, self.met = z, n, np.zeros(len(z), bool)
+    def __init__(self, size: int):
+        self.z, self.n = np.zeros(size), np.zeros(size)
 
     def weights(self, at) -> np.ndarray:
         z = self.z[at]
@@ -56,7 +51,6 @@ class Learner:
         n = self.n[at]
         self.z[at] += gradient - (np.sqrt(n + gradient**2) - np.sqrt(n)) / ALPHA * w
         self.n[at] = n + gradient**2
-        self.met[at] = True
 
 
 def sampled_labels(labels: DataFrame, bound: int) -> DataFrame:
@@ -70,58 +64,40 @@ def sampled_labels(labels: DataFrame, bound: int) -> DataFrame:
     return known.where(F.col("u") <= F.lit(int(share * (2**32 - 1)) - 2**31)).orderBy("u", "doc_id").limit(bound)
 
 
-def _one_round(state):
-    """The step of one task: go through its rows from the common state, give back what it met."""
-
-    def go(frame: pd.DataFrame) -> pd.DataFrame:
-        learner = Learner(*(x.copy() for x in state.value))
-        bias = len(learner.z) - SLICE
-        frame = frame.sort_values("u")
-        for _ in range(PASSES):
-            for ids, label in zip(frame["ids"], frame["label"]):
-                learner.learn(np.append(ids, bias), label)
-        met = learner.met.astype(float)
-        parts = np.stack([learner.z * met, learner.n * met, met]).reshape(3, -1, SLICE)
-        some = np.flatnonzero(parts[2].any(axis=1))
-        return pd.DataFrame({"slice": some.astype("int32"), "v": list(parts[:, some].transpose(1, 0, 2).reshape(len(some), -1))})
-
-    return go
+def _fit(frame: pd.DataFrame) -> pd.DataFrame:
+    """Go through the sample in the order of its hashes, PASSES times; give back the weights that are not zero."""
+    size = 1 << BITS
+    learner = Learner(size + 1)
+    frame = frame.sort_values(["u", "doc_id"])
+    rows = [(np.append(ids, size), label) for ids, label in zip(frame["ids"], frame["label"])]
+    for _ in range(PASSES):
+        for at, label in rows:
+            learner.learn(at, label)
+    weights = learner.weights(slice(None))
+    # the bias goes along even if it is zero
+    places = np.append(np.flatnonzero(weights[:size]), size)
+    return pd.DataFrame({"place": places.astype("int32"), "weight": weights[places]})
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Places with a weight, their weights, and the bias."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = scratch.write(sampled_labels(labels, TRAIN_ROWS), "labels")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # bounded by TRAIN_ROWS rows of three numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS).join(F.broadcast(known), "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = pa.array([gram_ids(x.as_py(), BITS) for x in batch.column(3)], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], ["shard", "u", "label", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], ids], ["doc_id", "u", "label", "ids"])
 
-    shard = F.pmod("u", F.lit(SHARDS)).cast("int").alias("shard")
-    gathered = scratch.write(
-        rows.select(shard, "u", "label", "text").mapInArrow(features, "shard int, u long, label int, ids array<int>"), "features"
-    )
-    size = 1 << BITS
-    z, n = np.zeros(size + SLICE), np.zeros(size + SLICE)
-    for _ in range(ROUNDS):
-        state = docs.sparkSession.sparkContext.broadcast((z, n))
-
-        states = gathered.groupBy("shard").applyInPandas(_one_round(state), "slice int, v array<double>")
-        summed = states.groupBy("slice").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-        z, n = z.copy(), n.copy()
-        for row in summed.toLocalIterator():
-            dz, dn, met = np.array(row.v).reshape(3, SLICE)
-            at, hit = slice(row.slice * SLICE, (row.slice + 1) * SLICE), met > 0
-            z[at][hit], n[at][hit] = dz[hit] / met[hit], dn[hit] / met[hit]
-        state.unpersist()
-    scratch.drop("features")
+    gathered = rows.select("doc_id", "u", "label", "text").mapInArrow(features, "doc_id long, u long, label int, ids array<int>")
+    weights = gathered.withColumn("task", F.lit(0)).groupBy("task").applyInPandas(_fit, "place int, weight double").toPandas().sort_values("place")
     scratch.drop("labels")
-    weights = Learner(z, n).weights(slice(None))
-    places = np.flatnonzero(weights[:size])
-    return places, weights[places].astype(np.float32), float(weights[size])
+    if weights.empty:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
+    return weights["place"].to_numpy()[:-1], weights["weight"].to_numpy(np.float32)[:-1], float(weights["weight"].iloc[-1])
 
 
 class Scorer:
