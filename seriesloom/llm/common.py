@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +41,11 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables of one run in the shared folder; drop() deletes what no later step reads."""
+    """Tables of one run in the shared folder; drop() deletes what no later step reads.
+
+    A written table ends the use of the shuffle files behind it. Spark deletes such files once the
+    driver has collected the plan that made them, so write() asks for a collection.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
@@ -51,10 +56,14 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(self.path(name))
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
+        schema = df.schema
+        del df
+        self.release()
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def release(self) -> None:
+        gc.collect()
+        self.spark._jvm.System.gc()
 
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))

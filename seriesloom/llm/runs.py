@@ -18,6 +18,14 @@ from seriesloom.llm.common import Scratch
 KEY = ["k1", "k2"]
 
 
+def _merge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Merge two runs side by side; each has a key once."""
+    b = b.withColumnsRenamed({"n": "n2", "top": "top2"})
+    none = F.lit(0)
+    both = a.join(b, keys, "full")
+    return both.select(*keys, (F.coalesce("n", none) + F.coalesce("n2", none)).alias("n"), F.greatest("top", "top2").alias("top"))
+
+
 class SortedRuns:
     def __init__(self, spark: SparkSession, scratch: Scratch):
         self.spark, self.scratch = spark, scratch
@@ -26,39 +34,32 @@ class SortedRuns:
 
     def add(self, members: DataFrame) -> None:
         """Fold (k1, k2, n, top) by key, mark the keys that older runs hold, and add the run."""
-        fresh = members.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-        older = self._union()
-        if older is None:
-            marked = fresh.withColumn("seen", F.lit(False))
-        else:
-            held = older.where("not seen").select(*KEY, F.lit(True).alias("held"))
-            marked = fresh.join(held, KEY, "left").withColumn("seen", F.col("held").isNotNull())
+        marked = members.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top")).withColumn("seen", F.lit(False))
+        for _, name in self.levels:
+            held = self._read(name).where("not seen").select(*KEY, F.lit(True).alias("held"))
+            marked = marked.join(held, KEY, "left").withColumn("seen", F.col("seen") | F.col("held").isNotNull()).drop("held")
         self.levels.append((0, self._write(marked)))
+        self.scratch.release()
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (level, young), (_, old) = self.levels.pop(), self.levels.pop()
-            merged = self._read(old).unionByName(self._read(young)).groupBy(*KEY, "seen").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-            self.levels.append((level + 1, self._write(merged)))
+            self.levels.append((level + 1, self._write(_merge(self._read(old), self._read(young), [*KEY, "seen"]))))
             for name in (young, old):
                 self._drop(name)
+            self.scratch.release()
 
     def totals(self) -> DataFrame:
         """k1, k2, n, top over all runs."""
-        rows = self._union()
-        if rows is None:
-            return self.spark.createDataFrame([], "k1 long, k2 long, n long, top long")
-        return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+        total = self.spark.createDataFrame([], "k1 long, k2 long, n long, top long") if not self.levels else None
+        for _, name in self.levels:
+            run = self._read(name).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
+            total = run if total is None else _merge(total, run, KEY)
+        return total
 
     def close(self) -> None:
         for _, name in self.levels:
             self._drop(name)
         self.levels = []
 
-    def _union(self) -> DataFrame | None:
-        runs = [self._read(name) for _, name in self.levels]
-        for run in runs[1:]:
-            runs[0] = runs[0].unionByName(run)
-        return runs[0] if runs else None
-
     def _read(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
