@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.operators.quality import FREQUENCY_PERIODS
 from seriesloom.panel import KEY, attach, near, own_rows, with_halo
+from seriesloom.session import block_rows
 
 
 def _moving_average(p: int) -> Column:
@@ -27,7 +27,7 @@ def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | N
     """Add period, trend, seasonal, resid.
 
     ``period`` is one number, or the name of a column with a period per series; ``candidates``
-    then lists the values it may take, by default those of the frequency table. The trend ends
+    then lists the values it may take, by default all that occur. The trend ends
     are extended by a line through the nearest ``period`` trend points. Components are null for
     series with missing values or fewer than two periods.
 
@@ -38,10 +38,14 @@ def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | N
         candidates = [period]
         rows = panel.select(KEY, "ts", "i", "y", F.lit(period).alias("period"))
     else:
-        candidates = sorted(set(candidates or FREQUENCY_PERIODS.values()))
         rows = panel.select(KEY, "ts", "i", "y", F.col(period).cast("int").alias("period"))
+        if candidates is None:
+            # one value per season length in use
+            candidates = [r.period for r in rows.select("period").distinct().collect() if r.period and r.period > 0]
+        candidates = sorted(set(candidates)) or [1]
+    size = block_rows(panel.sparkSession)
     top = max(candidates)
-    reach = top // 2 + top + 1
+    reach = min(top // 2 + top + 1, size)
     half = F.expr("period div 2")
 
     trend = F
@@ -49,7 +53,7 @@ def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | N
         trend = trend.when(F.col("period") == p, _moving_average(p))
     base = (
         own_rows(
-            with_halo(rows, back=top // 2, ahead=reach)
+            with_halo(rows, back=min(top // 2, size), ahead=reach)
             .withColumn("trend", trend)
             .withColumn("left", F.count("*").over(near(0, reach)) - 1)
         )
@@ -103,6 +107,8 @@ def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | N
 
     lines = (
         ends.where((F.col("rows") >= 2 * F.col("period")) & (F.col("known") == F.col("rows")))
+        # without a trend there is no pattern either: a period not listed, or one that a block can't span
+        .where(F.col("period").isin(candidates) & ((F.col("rows") <= size) | (F.expr("period div 2") + F.col("period") < size)))
         .withColumn("f_k", slope("f"))
         .withColumn("b_k", slope("b"))
         .withColumn("f_c", F.try_divide(F.col("f_t") - F.col("f_k") * F.col("f_x"), F.col("f_n")))
@@ -166,9 +172,10 @@ def decomposition_frame(panel: DataFrame, period: int | str) -> DataFrame:
 
 
 def before_after_frame(original: DataFrame, processed: DataFrame) -> DataFrame:
-    return original.select(KEY, "ts", F.col("y").alias("original")).join(
-        processed.select(KEY, "ts", F.col("y").alias("processed")), [KEY, "ts"]
-    )
+    """Rows before and after, side by side; of equal times, the first goes with the first and so on."""
+    turn = F.row_number().over(Window.partitionBy(KEY, "ts").orderBy("i")).alias("turn")
+    before = original.select(KEY, "ts", turn, F.col("y").alias("original"))
+    return before.join(processed.select(KEY, "ts", turn, F.col("y").alias("processed")), [KEY, "ts", "turn"]).drop("turn")
 
 
 def calendar_profile(panel: DataFrame, frequencies: DataFrame) -> DataFrame:

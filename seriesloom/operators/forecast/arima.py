@@ -17,7 +17,7 @@ from seriesloom.functions.mathx import solve_normal
 from seriesloom.panel import KEY, attach
 from seriesloom.session import block_rows
 
-REACH = 1_024
+LEAST_REACH = 1_024
 LIMIT = 0.95
 MIN_ROWS = 8
 SEGMENT = 4_096
@@ -49,17 +49,25 @@ def _differenced(y: np.ndarray, s: int) -> np.ndarray:
     return w[s:] - w[:-s] if s else w
 
 
+def _span(s: int) -> int:
+    """Rows before a position that the products of a seasonal model can reach."""
+    return 4 * s + 2
+
+
 def lag_sums(train: DataFrame, seasonal: bool) -> DataFrame:
     """Cross products of the lagged differences per series, followed by the last values."""
     rows = train.select(KEY, "i", "y", "n_train", F.col("season") if seasonal else F.lit(0).alias("season"))
-    reach = min(REACH, block_rows(train.sparkSession))
+    size = block_rows(train.sparkSession)
+    longest = rows.agg(F.max("season")).first()[0] or 0
+    reach = min(max(LEAST_REACH, _span(longest)), size)
 
     def kernel(pdf, own):
         n, s = int(pdf["n_train"].iloc[0]), int(pdf["season"].iloc[0])
         _, _, need, _ = _plan(n, s)
         span = need[-1] + s + 1
-        if span > reach:
-            raise ValueError(f"lag {span} exceeds the halo of {reach} rows")
+        if span > reach and n > size:
+            # the products of this series reach past the halo; it becomes a failed row
+            return np.full(len(need) ** 2 + span + 1, np.nan)
         y, first = pdf["y"].to_numpy(), int(np.argmax(own))
         part = y[max(0, first - span) :]
         d = len(need)

@@ -53,7 +53,11 @@ def train_trees(rows: DataFrame, inputs: Sequence[str], label: str, rounds: int,
         featureSubsetStrategy=str(SHARE),
         seed=SEED,
     )
-    return assembler, trees.fit(assembler.transform(rows))
+    # every round goes through the rows several times
+    ready = assembler.transform(rows).select("inputs", label).persist()
+    model = trees.fit(ready)
+    ready.unpersist()
+    return assembler, model
 
 
 def fit_predict(

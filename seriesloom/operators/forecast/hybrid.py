@@ -20,7 +20,7 @@ RESIDUAL_DEPTH = 3
 def fit_seasonal_ets(train: DataFrame, candidates: Sequence[int] | None = None) -> DataFrame:
     """Deseasonalise by decomposition, smooth the rest, keep the seasonal pattern of the last season.
 
-    ``candidates`` lists the season lengths in use when they are not those of the frequency table.
+    ``candidates`` lists the season lengths in use where they are known; otherwise they are looked up.
     """
     sizes = train.select(KEY, "i", "n_train", "season")
     parts = decompose(train, "season", candidates)

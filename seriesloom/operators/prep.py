@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.texts import TEXTS
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.panel import KEY, attach, in_halo, near, own_rows, renumber, with_halo, with_neighbours
 
@@ -178,31 +179,31 @@ def preprocess(panel: DataFrame, options: PrepOptions = PrepOptions()) -> tuple[
             both,
             1,
             F.col("before") - F.col("after"),
-            F.format_string(f"Missing values: %d → %d using [{name}]", F.col("before"), F.col("after")),
+            F.format_string(TEXTS["step_missing"].format(name=name), F.col("before"), F.col("after")),
         )
     ]
     label = {
-        "clip": f"IQR clipping (±{o.threshold} IQR)",
-        "zscore": f"Z-score replacement (|z|>{o.threshold})",
+        "clip": TEXTS["step_clip"].format(threshold=o.threshold),
+        "zscore": TEXTS["step_zscore"].format(threshold=o.threshold),
     }.get(o.outliers, "None")
     hits = flagged.groupBy(KEY).agg(F.count_if("outlier").alias("hits"))
     lines.append(
-        _log(hits, 2, F.col("hits"), F.format_string(f"Outliers handled: ~%d adjusted using [{label}]", F.col("hits")))
+        _log(hits, 2, F.col("hits"), F.format_string(TEXTS["step_outliers"].format(label=label), F.col("hits")))
     )
     sizes = treated.groupBy(KEY).agg(F.count("y").alias("n"), F.min("y").alias("least"))
     if o.scaling == "log":
         text = F.format_string(
-            "Applied log-transform (shifted by %.4f to ensure positivity).", log_offset(F.col("least"))
+            TEXTS["step_log"], log_offset(F.col("least"))
         )
     else:
-        text = F.lit(SCALE_LINES.get(o.scaling, "No scaling/transform applied."))
+        text = F.lit(SCALE_LINES.get(o.scaling, TEXTS["step_no_scale"]))
     lines.append(_log(sizes, 3, F.col("n") if o.scaling in ("standard", "minmax", "log") else F.lit(0), text))
     if o.differencing > 0:
         lines.append(
-            _log(sizes, 4, F.lit(o.differencing), F.lit(f"Applied differencing of order {o.differencing}."))
+            _log(sizes, 4, F.lit(o.differencing), F.lit(TEXTS["step_difference"].format(differencing=o.differencing)))
         )
     if o.smoothing and o.smoothing > 1:
-        text = F.lit(f"Applied rolling mean smoothing (window={o.smoothing}).")
+        text = F.lit(TEXTS["step_smooth"].format(smoothing=o.smoothing))
         lines.append(_log(sizes, 5, F.col("n"), text))
     log = lines[0]
     for line in lines[1:]:

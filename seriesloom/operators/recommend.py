@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.operators.texts import TEXTS
 from seriesloom.operators.evidence import fmt, list_text
 from seriesloom.panel import KEY
 
@@ -380,37 +381,37 @@ def decide(recommendations: DataFrame, predictions: DataFrame | None = None) ->
         F.when(
             case.isin("high", "high_agree"),
             F.array(
-                fmt("AI model has high confidence (%.1f%%)", pct),
-                fmt("Primary recommendation: %s (AI-driven)", ai),
-                F.when(case == "high_agree", fmt("Rule-based system agrees: %s", rule)).otherwise(
-                    fmt("Note: Rule-based system suggested %s, but AI has stronger evidence", rule)
+                fmt(TEXTS["decision_ai_sure"], pct),
+                fmt(TEXTS["decision_ai_primary"], ai),
+                F.when(case == "high_agree", fmt(TEXTS["decision_rules_agree"], rule)).otherwise(
+                    fmt(TEXTS["decision_rules_differ"], rule)
                 ),
             ),
         )
         .when(
             case == "middle_agree",
             F.array(
-                fmt("Both AI (%.1f%%) and rules agree on %s", pct, ai), F.lit("High consensus recommendation")
+                fmt(TEXTS["decision_both"], pct, ai), F.lit(TEXTS["decision_consensus"])
             ),
         )
         .when(
             case == "middle_ai",
             F.array(
-                fmt("AI suggestion (%s, %.1f%%) has higher weighted score", ai, pct),
-                F.format_string("Rule-based suggested %s as alternative", F.coalesce(rule, F.lit("None"))),
+                fmt(TEXTS["decision_ai_weight"], ai, pct),
+                F.format_string(TEXTS["decision_rule_second"], F.coalesce(rule, F.lit("None"))),
             ),
         )
         .when(
             case == "middle_rule",
             F.array(
-                F.lit("Using rule-based recommendation due to low AI confidence"),
-                fmt("AI suggested %s but with only %.1f%% confidence", ai, pct),
+                F.lit(TEXTS["decision_rule_first"]),
+                fmt(TEXTS["decision_ai_weak"], ai, pct),
             ),
         )
         .otherwise(
             F.array(
-                F.lit("Using rule-based recommendation (AI unavailable or low confidence)"),
-                fmt("AI prediction (%s) had insufficient confidence (%.1f%%)", ai, pct),
+                F.lit(TEXTS["decision_rule_only"]),
+                fmt(TEXTS["decision_ai_short"], ai, pct),
             )
         )
     )
@@ -444,8 +445,12 @@ def final_details(decisions: DataFrame) -> DataFrame:
     )
 
 
-def comparison(decisions: DataFrame) -> DataFrame:
-    """Classifier, rules and final pick side by side; the first two only where present."""
+def comparison(decisions: DataFrame, trained_on: int | None = None) -> DataFrame:
+    """Classifier, rules and final pick side by side; the first two only where present.
+
+    ``trained_on`` is the number of series in the classifier's training set, where it is known.
+    """
+    basis = TEXTS["comparison_ai_basis"] if trained_on is None else TEXTS["comparison_ai_count"].format(n=trained_on)
 
     def row(method, name, confidence, weight, basis):
         return F.struct(
@@ -460,29 +465,29 @@ def comparison(decisions: DataFrame) -> DataFrame:
         F.when(
             F.col("ai_available"),
             row(
-                "AI Meta-Model",
+                TEXTS["comparison_ai"],
                 F.col("ai_name"),
                 F.format_string("%.1f%%", F.col("ai_confidence") * 100),
                 "80%",
-                "Trained on 300+ benchmarked series",
+                basis,
             ),
         ),
         F.when(
             F.col("rule_name").isNotNull(),
             row(
-                "Rule-Based",
+                TEXTS["comparison_rules"],
                 F.col("rule_name"),
                 F.format_string("%.0f%%", F.col("rule_confidence") * 100),
                 "20%",
-                "Statistical tests + heuristics",
+                TEXTS["comparison_rules_basis"],
             ),
         ),
         row(
-            "Final Hybrid",
+            TEXTS["comparison_final"],
             F.col("final_name"),
             F.format_string("%.1f%%", F.col("final_confidence") * 100),
             "100%",
-            "Weighted combination",
+            TEXTS["comparison_final_basis"],
         ),
     )
     return decisions.select(KEY, "task", F.inline(F.array_compact(rows)))

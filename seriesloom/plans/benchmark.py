@@ -142,6 +142,6 @@ def forecast_frame(bench: Bench, forecasts: DataFrame) -> DataFrame:
     sizes = bench.parts.select(KEY, (F.col("n") - F.col("n_train")).alias("n_test")).distinct()
     counts = forecasts.groupBy(KEY, "model").agg(F.count("*").alias("points"))
     whole = counts.join(sizes, KEY).where("points = n_test").select(KEY, "model")
-    return bench.future.select(KEY, "ts", F.col("y").alias("actual")).join(
-        forecasts.join(whole, [KEY, "model"]).select(KEY, "ts", "model", "yhat"), [KEY, "ts"]
-    )
+    actual = bench.future.select(KEY, "i", "ts", F.col("y").alias("actual"))
+    rows = forecasts.join(whole, [KEY, "model"]).select(KEY, "i", "model", "yhat")
+    return actual.join(rows, [KEY, "i"]).select(KEY, "ts", "actual", "model", "yhat")

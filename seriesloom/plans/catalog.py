@@ -534,9 +534,6 @@ def parameter_hints(spark, sf):
 
 # ---------------------------------------------------------------- forecasting
 
-ROUNDS = 10
-
-
 def _split(spark, sf):
     return split(hourly(spark, sf), 0.8)
 
@@ -592,7 +589,7 @@ def lag_frame(spark, sf):
 def _bench(spark, sf):
     panel = stored(spark, sf, mixed)
     features = profile.seasonality_features(panel, frequencies_of(spark, sf, mixed))
-    return Bench(panel, 0.8, features, rounds=ROUNDS)
+    return Bench(panel, 0.8, features)
 
 
 def _single(model):
@@ -624,7 +621,7 @@ def benchmark_all(spark, sf):
 def benchmark_failed(spark, sf):
     """Status of models that cannot be fitted: the monthly series cut to too few rows for a season of 52."""
     seasons = lengths(monthly(spark, sf)).select(KEY, F.lit(52).alias("seasonal_period"))
-    bench = Bench(monthly(spark, sf), 0.8, seasons, rounds=ROUNDS)
+    bench = Bench(monthly(spark, sf), 0.8, seasons)
     return compare(bench, ["SARIMA", "Exponential Smoothing", "STL + ETS (Hybrid)", "Prophet"]).failed
 
 
@@ -673,8 +670,7 @@ def _learned(spark, sf):
     panel = written(build_panel(lines, "p_brand", "l_shipdate", "l_quantity", "month"), "brands")
     frequencies = written(quality.detect_frequency(panel), "frequencies")
     features = written(profile.profile(panel, frequencies), "features")
-    names = ["ARIMA", "Exponential Smoothing", "SARIMA", "STL + ETS (Hybrid)"]
-    scores = compare(Bench(panel, 0.8, features), names).scores
+    scores = compare(Bench(panel, 0.8, features), ALL).scores
     return features, written(meta.training_set(features, scores), "training")
 
 

@@ -670,7 +670,7 @@ FROM finals f LEFT JOIN named USING (series_id) GROUP BY 1, 2""",
 SQL["decision_comparison"] = sql(
     DECIDED,
     """SELECT series_id, 'AI Meta-Model' AS method, ai AS prediction, printf('%.1f%%', a * 100) AS confidence, '80%' AS weight,
-  'Trained on 300+ benchmarked series' AS basis FROM finals WHERE ok
+  'Trained on benchmarked series' AS basis FROM finals WHERE ok
 UNION ALL SELECT series_id, 'Rule-Based', rule_name, printf('%.0f%%', r * 100), '20%', 'Statistical tests + heuristics' FROM finals WHERE rule_name IS NOT NULL
 UNION ALL SELECT series_id, 'Final Hybrid', coalesce(final_name, 'N/A'), printf('%.1f%%', final_confidence * 100), '100%', 'Weighted combination' FROM finals""",
     True,

@@ -157,3 +157,32 @@ def test_naive(panel_of, spark):
     params = naive.fit(train_rows(parts), 3)
     assert values_of(naive.predict(params, holdout_rows(parts)), "yhat") == [5.0, 6.0]
     assert {r.series_id: r.status for r in params.collect()}["b"] == "failed"
+
+
+@pytest.mark.parametrize("period", [30, 365])
+def test_hybrid_for_seasons_outside_the_table(panel_of, spark, period):
+    t = np.arange(4 * period)
+    y = 10 + 0.2 * t + 5 * np.sin(2 * np.pi * t / period)
+    bench = Bench(panel_of({"a": y}), 0.75, seasons(spark, a=period))
+    run = bench.run("STL + ETS (Hybrid)")
+    assert [r.status for r in run.status.collect()] == ["success"]
+    assert metrics(run.forecasts).first().mae < 1e-6
+
+
+def test_sarima_with_long_seasons_never_raises(panel_of, spark, blocks):
+    t = np.arange(1500)
+    y = np.sin(2 * np.pi * t / 300) + 0.01 * t
+    params = {r.series_id: r for r in arima.fit(train_rows(split(panel_of({"a": y, "b": y}), 0.98, seasons(spark, a=300, b=12))), seasonal=True).collect()}
+    assert params["a"].status == params["b"].status == "success"
+    # longer than a block and out of reach: a failed row, the other series is fitted
+    blocks(400)
+    params = {r.series_id: r for r in arima.fit(train_rows(split(panel_of({"a": y, "b": y}), 0.98, seasons(spark, a=300, b=12))), seasonal=True).collect()}
+    assert params["a"].status == "failed" and params["a"].error and params["b"].status == "success"
+
+
+def test_forecast_frame_with_equal_times(spark):
+    rows = [("a", f"2024-01-{1 + i // 2:02d} 00:00:00", i, float(i)) for i in range(40)]
+    panel = spark.createDataFrame(rows, "series_id string, t string, i long, y double").selectExpr("series_id", "cast(t as timestamp_ntz) ts", "i", "y")
+    bench = Bench(panel, 0.8, seasons(spark, a=2))
+    frame = forecast_frame(bench, bench.run("Seasonal Naive").forecasts)
+    assert frame.count() == 8
