@@ -16,8 +16,10 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import duckdb
@@ -30,9 +32,12 @@ from pyspark.sql import functions as F
 from seriesloom.session import ship_package
 
 LONG_WORD = 256
-KNOWN_WORDS = 500_000
-# words contracted by one query, characters and ids worked on at once
-QUERY_WORDS, PART_CHARS, PART_IDS = 30_000, 1 << 22, 1 << 19
+KNOWN_WORDS = 1_000_000
+# words contracted by one query, characters and ids worked on at once, rows taken from a batch at once
+QUERY_WORDS, PART_CHARS, PART_IDS, PART_ROWS = 10_000, 1 << 20, 1 << 19, 256
+# ASCII without control characters, blanks, and letters of Latin scripts: there, Python's own
+# expressions match like those with Unicode classes, and faster
+LATIN, BLANK = "A-Za-zÀ-ÖØ-öø-ɏ", " \t\n\x0b\x0c\r"
 
 CONTRACT = """
 WITH RECURSIVE tokens(step, word, place, token, next_place, next_token) AS (
@@ -58,17 +63,29 @@ SELECT word, token FROM tokens WHERE (word, step) IN (SELECT word, max(step) FRO
 """
 
 DECODE = """
-SELECT doc, string_agg(hex, '' ORDER BY place) AS hex FROM ids JOIN vocabulary USING (token) GROUP BY doc ORDER BY doc
+SELECT doc, array_to_string(list(hex ORDER BY place), '') AS hex FROM ids JOIN vocabulary USING (token) GROUP BY doc ORDER BY doc
 """
 
 
+def splitter(pattern: str) -> Callable[[str], list[str]]:
+    """All matches of a pattern in a text."""
+    general = regex.compile(pattern).findall
+    plain = re.sub(r"(\[\^?)([^\]]*)\]", lambda m: m[1] + m[2].replace(r"\p{L}", LATIN).replace(r"\p{N}", "0-9").replace(r"\s", BLANK) + "]", pattern)
+    for name, inside in ((r"\p{L}", f"[{LATIN}]"), (r"\p{N}", "[0-9]"), (r"\s", f"[{BLANK}]"), (r"\S", f"[^{BLANK}]")):
+        plain = plain.replace(name, inside)
+    if re.search(r"\\[a-zA-Z]", plain.replace(BLANK, "")):
+        return general
+    quick, other = re.compile(plain).findall, re.compile(f"[^ -~{BLANK}{LATIN}]").search
+    return lambda text: general(text) if other(text) else quick(text)
+
+
 class Tokenizer:
     """The vocabulary of a file, its merge table in a DuckDB session of this process, and the words met so far."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         self.known: dict[str, bytes] = {}
         merges = [
@@ -159,7 +176,7 @@ class Tokenizer:
         for ids in [*sequences, None]:
             if part and (ids is None or size > PART_IDS):
                 sizes = [len(x) for x in part]
-                rows = {"doc": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "place": np.arange(sum(sizes)), "token": np.concatenate(part)}
+                rows = {"doc": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "place": np.arange(sum(sizes), dtype=np.int32), "token": np.concatenate(part)}
                 self.session.register("ids", pa.table(rows))
                 found = self.session.execute(DECODE).fetchnumpy()
                 self.session.unregister("ids")
@@ -205,3 +222,26 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokenizer.decode(sequences), pa.binary())], ["doc_id", "ids", "body"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, body binary")
+
+
+def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Encode every text and decode its ids in one pass: doc_id, n_tokens, and digests of the ids and of the decoded bytes."""
+    ship_package(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def digest(data: bytes) -> str:
+        return hashlib.sha256(data).hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(path, pattern)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PART_ROWS):
+                part = batch.slice(at, PART_ROWS)
+                ids = [np.frombuffer(x, np.int32) for x in tokenizer.encode(part.column(1).to_pylist())]
+                written = [digest(",".join(map(str, x.tolist())).encode()) for x in ids]
+                decoded = [digest(x) for x in tokenizer.decode(ids)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(written), pa.array(decoded)], names)
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return docs.select(F.col("doc_id").cast("long"), text).mapInArrow(run, schema)
