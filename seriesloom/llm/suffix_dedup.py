@@ -9,8 +9,9 @@ hash of all bytes that the segment's windows cover), ordered by it, with the num
 Documents arrive in batches. A batch's array is merge-scanned against the arrays of older levels,
 which tells entries found before from new ones, and arrays of equal level merge to the next. Then
 - an entry with two places or more: every window of the segment repeats;
-- an anchor with two entries or more: where such segments differ, single windows may still be
-  equal. One place per entry is expanded into windows, and windows are counted by hash.
+- an anchor with two entries or more: where such segments differ, some windows may still be
+  equal. One place per entry is compared with the others, first in parts of PART windows, then
+  window by window where parts have the same common bytes and still differ.
 Both look at all places, so the result is that of comparing all windows with each other.
 
 Removed are all bytes covered by a window that starts anywhere else, in the same row or another;
@@ -23,7 +24,7 @@ result. Texts of any length are scanned in slices.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +33,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.llm.common import Scratch
-from seriesloom.llm.grams import polynomial, substring_hashes
+from seriesloom.llm.grams import mix, polynomial, substring_hashes
 from seriesloom.llm.runs import SortedRuns
 from seriesloom.session import ship_package
 
 LENGTH = 200
 GRAM = 64
 BATCHES = 4
+# neighbouring windows that are compared together before they are compared one by one
+PART = 16
 # windows per slice of a text
 SLICE = 1 << 19
 
@@ -75,6 +78,31 @@ def segments(text: bytes) -> list[np.ndarray]:
     return [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2
 
 
+def parts(text: bytes, anchor: int, first: int, count: int) -> tuple[np.ndarray, ...]:
+    """The windows of a segment in parts of PART neighbours, counted from the place of the anchor.
+
+    Gives, per part: anchor and number as one hash, hash of the bytes that all windows of a full
+    part share, hash of all bytes of the part, first window, windows. Equal windows lie in parts
+    that agree in the first two.
+    """
+    data = np.frombuffer(text, np.uint8)[first : first + count + LENGTH - 1]
+    sums = polynomial(data)
+    # the anchor lies in all windows; ties go to the leftmost
+    among = substring_hashes(sums, np.arange(count - 1, LENGTH - GRAM + 1), GRAM)
+    place = count - 1 + int(np.argmax(among == np.uint64(anchor)))
+    numbers = np.arange((place - count + 1) // PART, place // PART + 1)
+    last = place - PART * numbers
+    low, high = np.maximum(0, last - PART + 1), np.minimum(count - 1, last)
+    lengths = high - low + 1
+    return (
+        mix(np.uint64(anchor) + numbers.astype(np.uint64)),
+        substring_hashes(sums, last, LENGTH - PART + 1),
+        substring_hashes(sums, low, lengths + LENGTH - 1),
+        first + low,
+        lengths,
+    )
+
+
 def windows(text: bytes, first: int, count: int) -> np.ndarray:
     """Hashes of the windows that start at first, first + 1, ..."""
     part = np.frombuffer(text, np.uint8)[first : first + count + LENGTH - 1]
@@ -115,28 +143,55 @@ def _places(rows: DataFrame) -> DataFrame:
     return rows.select("kd", "kt", part, "body").mapInArrow(run, schema)
 
 
-def _expanded(texts: DataFrame, entries: DataFrame) -> DataFrame:
-    """(k1, w, kd, kt, at, alone) for the windows of the given segments."""
-    wanted = entries.groupBy("kd", "kt").agg(F.collect_list(F.struct("lo", "len", "k1", "alone")).alias("parts"))
-    names = ["k1", "w", "kd", "kt", "at", "alone"]
+def _per_segment(texts: DataFrame, wanted: DataFrame, hashes: list[str], split: Callable[[bytes, int, int, int], tuple[np.ndarray, ...]]) -> DataFrame:
+    """Split places (kd, kt, k1, lo, len, alone) with the help of their text: split's hashes, then kd, kt, lo, len, alone."""
+    asked = wanted.groupBy("kd", "kt").agg(F.collect_list(F.struct("k1", "lo", "len", "alone")).alias("asked"))
+    names = [*hashes, "kd", "kt", "lo", "len", "alone"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for kd, kt, body, parts in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), batch.column(3).to_pylist()):
+            for kd, kt, body, places in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), batch.column(3).to_pylist()):
                 text = body.as_py()
-                sizes = [p["len"] for p in parts]
-                total = sum(sizes)
-                hashes = np.concatenate([windows(text, p["lo"], p["len"]) for p in parts])
-                at = np.concatenate([np.arange(p["lo"], p["lo"] + p["len"]) for p in parts])
-                columns = [
-                    pa.array(np.repeat(np.array([p["k1"] for p in parts], np.int64), sizes)), _signed(hashes),
-                    pa.array(np.full(total, kd, np.int64)), pa.array(np.full(total, kt, np.int64)), pa.array(at.astype(np.int64)),
-                    pa.array(np.repeat(np.array([p["alone"] for p in parts], bool), sizes)),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
+                found = [split(text, p["k1"] % (1 << 64), p["lo"], p["len"]) for p in places]
+                sizes = [len(f[0]) for f in found]
+                *keys, lo, count = (np.concatenate(c) for c in zip(*found))
+                alone = np.repeat([p["alone"] for p in places], sizes)
+                same = [pa.array(np.full(len(lo), k, np.int64)) for k in (kd, kt)]
+                rest = [pa.array(lo.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(alone)]
+                yield pa.RecordBatch.from_arrays([*map(_signed, keys), *same, *rest], names)
+
+    joined = texts.join(asked, ["kd", "kt"]).select("kd", "kt", "body", "asked")
+    schema = ", ".join(f"{h} long" for h in hashes) + ", kd long, kt long, lo long, len int, alone boolean"
+    return joined.mapInArrow(run, schema)
+
 
-    joined = texts.join(wanted, ["kd", "kt"]).select("kd", "kt", "body", "parts")
-    return joined.mapInArrow(run, "k1 long, w long, kd long, kt long, at long, alone boolean")
+def _single_windows(text: bytes, anchor: int, first: int, count: int) -> tuple[np.ndarray, ...]:
+    at = np.arange(first, first + count)
+    return np.full(count, anchor, np.uint64), windows(text, first, count), at, np.ones(count, np.int32)
+
+
+def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys)
+
+
+def _equal_windows(texts: DataFrame, shown: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ranges (kd, kt, lo, len) of repeated windows among segments (kd, kt, k1, lo, len, alone) that all differ.
+
+    Segments are compared part by part; only parts that agree in their common bytes and differ in
+    all their bytes are compared window by window.
+    """
+    pieces = scratch.write(_per_segment(texts, shown, ["k1", "common", "whole"], parts), "parts")
+    alike = scratch.write(pieces.join(_repeated(pieces, "k1", "common"), ["k1", "common"], "left_semi"), "alike")
+    scratch.drop("parts")
+    key = F.struct("kd", "kt", "lo", "len")
+    kinds = alike.groupBy("k1", "common", "whole").agg(F.count("*").alias("n"), F.min(key).alias("p"), F.max("alone").alias("alone"))
+    kinds = scratch.write(kinds, "kinds")
+    equal = alike.where("alone").join(kinds.where("n > 1"), ["k1", "common", "whole"], "left_semi").select("kd", "kt", "lo", "len")
+    mixed = kinds.join(_repeated(kinds, "k1", "common"), ["k1", "common"], "left_semi")
+    asked = mixed.select("p.*", "k1", (F.col("alone") & (F.col("n") == 1)).alias("alone"))
+    single = scratch.write(_per_segment(texts, asked, ["k1", "w"], _single_windows), "windows")
+    loose = single.where("alone").join(_repeated(single, "k1", "w"), ["k1", "w"], "left_semi").select("kd", "kt", "lo", "len")
+    return equal.unionByName(loose)
 
 
 def _readable(column: str) -> Column:
@@ -151,6 +206,7 @@ def _copy(rows: DataFrame, scratch: Scratch) -> DataFrame:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = rows.repartition(buckets, "kd", "kt").write.bucketBy(buckets, "kd", "kt").sortBy("kd", "kt")
     writer.option("compression", "zstd").option("path", scratch.path(name)).saveAsTable(name)
+    scratch.release()
     return spark.table(name)
 
 
@@ -174,11 +230,8 @@ def cut(docs: DataFrame) -> DataFrame:
     hits = scratch.write(places.join(entries, ["k1", "k2"]).select("k1", "k2", "kd", "kt", "lo", "len", "alone", "several"), "hits")
     scratch.drop("places")
     # one place stands for all places of an entry
-    shown = hits.where("several").groupBy("k1", "k2", "alone").agg(F.min(F.struct("kd", "kt", "lo", "len")).alias("p"))
-    single = scratch.write(_expanded(texts, shown.select("p.*", "k1", "alone")), "windows")
-    repeated = single.groupBy("k1", "w").agg(F.count("*").alias("n")).where("n > 1").select("k1", "w")
-    loose = single.where("alone").join(repeated, ["k1", "w"], "left_semi").select("kd", "kt", F.col("at").alias("lo"), F.lit(1).alias("len"))
-    ranges = hits.where("NOT alone").select("kd", "kt", "lo", "len").unionByName(loose)
+    shown = hits.where("several").groupBy("k1", "k2", "alone").agg(F.min(F.struct("kd", "kt", "lo", "len")).alias("p")).select("p.*", "k1", "alone")
+    ranges = hits.where("NOT alone").select("kd", "kt", "lo", "len").unionByName(_equal_windows(texts, shown, scratch))
     gone = ranges.groupBy("kd", "kt").agg(F.collect_list(F.struct("lo", "len")).alias("ranges"))
     joined = texts.join(gone, ["kd", "kt"], "left").select("rest", "body", "ranges")
     schema = T.StructType([joined.schema["rest"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
