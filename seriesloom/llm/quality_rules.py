@@ -1,9 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Base counts come first (base_counts). Every rule of rules() says when a text is rejected. On a sample of SAMPLE_ROWS rows the
-cost of a rule (seconds) and its selectivity (share of rejected rows) are measured, and the rules
-are chained in one CASE in the order of rejections per second: a row pays for a rule only if no
-earlier rule rejected it. The order changes the time, never the verdict.
+Base counts come first (base_counts). Every rule of rules() says when a text is rejected. On a
+sample of SAMPLE_ROWS rows the cost of a rule (seconds) and its selectivity (share of rejected rows)
+are measured, and the rules are chained in one CASE in the order of rejections per second: a row
+pays for a rule only if no earlier rule rejected it. The order changes the time, never the verdict.
 
 Defined cases: null and empty texts have no words, all counts 0 and fail the base rule; ties in
 the order go by rule name; repeated rows are judged one by one; rows with a null id too; extra
@@ -21,7 +21,7 @@ from seriesloom.llm.common import BLANKS
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-SAMPLE_ROWS = 500
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 20_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
 
@@ -90,9 +90,18 @@ def rules() -> dict[str, Column]:
     }
 
 
-def plan(counted: DataFrame) -> list[tuple[str, float, float]]:
-    """(rule, seconds, rejected share) on the sample, best rejection per cost first."""
-    sample = counted.limit(SAMPLE_ROWS).cache()
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "text", base_counts(F.col("text")).alias("c")).select("doc_id", "text", "c.*")
+
+
+def plan(rows: DataFrame) -> list[tuple[str, float, float]]:
+    """(rule, seconds, rejected share) on a sample of (doc_id, text), best rejection per cost first.
+
+    The sample is SAMPLE_ROWS texts of at most SAMPLE_CHARS characters from the first partitions
+    that have them; the others are not read.
+    """
+    taken = rows.where(F.length("text") <= SAMPLE_CHARS).limit(SAMPLE_ROWS).collect()
+    sample = _counted(rows.sparkSession.createDataFrame(taken, "doc_id long, text string")).cache()
     total = max(1, sample.count())
     measured = []
     for name, rejects in sorted(rules().items()):
@@ -106,11 +115,11 @@ def plan(counted: DataFrame) -> list[tuple[str, float, float]]:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, kept and the rule that rejected the row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counted = rows.select("doc_id", "text", base_counts(F.col("text")).alias("c")).select("doc_id", "text", "c.*")
+    counted = _counted(rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     verdict = F.when(failed, F.lit("base"))
     conditions = rules()
-    for name, _, _ in plan(counted):
+    for name, _, _ in plan(rows):
         verdict = verdict.when(conditions[name], F.lit(name))
     judged = counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict.alias("rejected_by"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
