@@ -27,7 +27,7 @@ from seriesloom.session import ship_package
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
-BATCHES = 4
+BATCHES = 2
 _BLANKS = b" \t\n\x0b\x0c\r"
 _HALF = (1 << 64) - 1
 

@@ -1,7 +1,7 @@
 """A family of sorted runs: batches are added as runs of level 0, two runs of one level merge to the next.
 
 A run holds rows (k1, k2, seen, n, top): a 128-bit key, whether an older run had it when the row
-came in, how many members it stands for, and the largest id among them. Runs are bucketed and
+came in, how many members it stands for, and the largest id among them; a key once. Runs are bucketed and
 sorted by key, so a batch is compared with the runs, and runs are merged, bucket by bucket without
 moving them again.
 """
@@ -18,12 +18,13 @@ from seriesloom.llm.common import Scratch
 KEY = ["k1", "k2"]
 
 
-def _merge(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge two runs side by side; each has a key once."""
-    b = b.withColumnsRenamed({"n": "n2", "top": "top2"})
-    none = F.lit(0)
-    both = a.join(b, keys, "full")
-    return both.select(*keys, (F.coalesce("n", none) + F.coalesce("n2", none)).alias("n"), F.greatest("top", "top2").alias("top"))
+def _merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Merge two runs side by side; each has a key once. A key was seen before if all its rows say so."""
+    b = b.withColumnsRenamed({"n": "n2", "top": "top2", "seen": "seen2"})
+    seen = F.coalesce("seen", F.lit(True)) & F.coalesce("seen2", F.lit(True))
+    count = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+    # joined by the bucket key alone: nothing is moved, and a task writes one bucket
+    return a.join(b, KEY, "full").select(*KEY, seen.alias("seen"), count.alias("n"), F.greatest("top", "top2").alias("top"))
 
 
 class SortedRuns:
@@ -42,18 +43,18 @@ class SortedRuns:
         self.scratch.release()
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (level, young), (_, old) = self.levels.pop(), self.levels.pop()
-            self.levels.append((level + 1, self._write(_merge(self._read(old), self._read(young), [*KEY, "seen"]))))
+            self.levels.append((level + 1, self._write(_merge(self._read(old), self._read(young)))))
             for name in (young, old):
                 self._drop(name)
             self.scratch.release()
 
     def totals(self) -> DataFrame:
         """k1, k2, n, top over all runs."""
-        total = self.spark.createDataFrame([], "k1 long, k2 long, n long, top long") if not self.levels else None
-        for _, name in self.levels:
-            run = self._read(name).groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-            total = run if total is None else _merge(total, run, KEY)
-        return total
+        runs = [self._read(name) for _, name in self.levels]
+        total = runs[0] if runs else self.spark.createDataFrame([], "k1 long, k2 long, seen boolean, n long, top long")
+        for run in runs[1:]:
+            total = _merge(total, run)
+        return total.drop("seen")
 
     def close(self) -> None:
         for _, name in self.levels:

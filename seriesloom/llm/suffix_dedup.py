@@ -39,7 +39,7 @@ from seriesloom.session import ship_package
 
 LENGTH = 200
 GRAM = 64
-BATCHES = 4
+BATCHES = 2
 # neighbouring windows that are compared together before they are compared one by one
 PART = 16
 # windows per slice of a text
