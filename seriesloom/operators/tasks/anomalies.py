@@ -8,13 +8,13 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesloom.operators.decompose import decompose
 from seriesloom.operators.prep import scale
 from seriesloom.operators.quantiles import quantiles
-from seriesloom.panel import KEY, attach, in_halo, near, own_rows, with_halo
+from seriesloom.panel import KEY, attach, in_halo, near, own_rows, with_block, with_halo
 from seriesloom.session import written
 
 TREES, SAMPLE, CONTAMINATION, SEED = 100, 256, 0.05, 42
@@ -81,68 +81,67 @@ def isolation_forest(
 ) -> DataFrame:
     """Score every row; the ``contamination`` share with the highest scores of a series is flagged.
 
-    Features are standardised per series, so one forest serves the panel. As in the algorithm,
-    each tree sees a sample of at most ``sample`` rows: the rows are drawn by hash order, which
-    takes a bounded top-k of trees x sample rows, and are grown into trees by grouped tasks.
+    Every series has a forest of its own. Each tree sees at most ``sample`` rows of its series, those
+    with the smallest hash for the tree; a bound on the hash leaves about twice as many to be
+    ranked. Trees are grown by grouped tasks and scored block by block.
     """
     names = ["lag_1", "rolling_mean", "rolling_std"]
     rows = isolation_features(panel)
     stats = rows.groupBy(KEY).agg(
         *[f(c).alias(f"{c}_{tag}") for c in names for f, tag in ((F.avg, "avg"), (F.stddev_pop, "sd"))],
+        F.count("*").alias("n"),
         F.max("i").alias("last_i"),
     )
     z = [F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_avg"), F.col(f"{c}_sd")), F.lit(0.0)).alias(f"z_{c}") for c in names]
-    scaled = written(attach(rows, stats).select(*rows.columns, *z), "isolation")
+    scaled = written(attach(rows, stats).select(*rows.columns, "n", *z), "isolation")
     inputs = [f"z_{c}" for c in names]
 
-    drawn = scaled.select(KEY, "i", *inputs, F.xxhash64(KEY, "i", F.lit(seed)).alias("draw"))
-    drawn = written(drawn.orderBy("draw", KEY, "i").limit(trees * sample), "drawn")
-    # with few rows each row enters several trees
-    shares = min(trees, -(-trees * sample // max(drawn.count(), 1)))
-    turn = F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))
-    drawn = drawn.withColumn("turn", turn).withColumn("tree", F.pmod(F.col("draw") + F.col("turn"), F.lit(trees)))
+    # a hash below the bound leaves 2 x sample + 40 rows per tree on average, all of a short series
+    bound = F.least(F.lit(1.0), (2.0 * sample + 40) / F.col("n")) * (1 << 31)
+    draw = lambda t: F.pmod(F.xxhash64(KEY, "i", t, F.lit(seed)), F.lit(1 << 31))
+    near_rows = scaled.select(KEY, "i", *inputs, F.explode(F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < bound)).alias("tree"))
+    order = Window.partitionBy(KEY, "tree").orderBy("draw", "i")
+    drawn = near_rows.withColumn("draw", draw(F.col("tree"))).withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample)
 
     def grow(key, pdf):
-        rng = np.random.default_rng([seed, int(key[0])])
-        x = pdf.sort_values("draw")[inputs].to_numpy()
-        size = min(sample, len(x))
-        nodes = _grow(x[rng.permutation(len(x))[:size]], rng, max(1, math.ceil(math.log2(max(size, 2)))))
+        pdf = pdf.sort_values("place")
+        rng = np.random.default_rng([seed, int(key[1]), int(pdf["draw"].iloc[0])])
+        x = pdf[inputs].to_numpy()
+        nodes = _grow(x, rng, max(1, math.ceil(math.log2(max(len(x), 2)))))
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "below", "above", "path"])
-        out.insert(0, "tree", int(key[0]))
-        out["size"] = size
+        out.insert(0, KEY, key[0])
+        out.insert(1, "tree", int(key[1]))
+        out["size"] = len(x)
         return out
 
-    schema = "tree long, node int, feature int, cut double, below int, above int, path double, size int"
-    # at most trees x 2 x sample nodes
-    grown = drawn.groupBy("tree").applyInPandas(grow, schema).toPandas()
-    forest = []
-    for _, t in grown.groupby("tree"):
-        t = t.sort_values("node")
-        forest.append(tuple(t[c].to_numpy() for c in ("feature", "cut", "below", "above", "path")))
-    usual = _average_path(int(grown["size"].max())) if len(grown) else 1.0
-
-    def score(batches):
-        for pdf in batches:
-            x = pdf[inputs].to_numpy()
-            total = np.zeros(len(x))
-            for feature, cut, below, above, path in forest:
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    f = feature[at]
-                    inner = np.flatnonzero(f >= 0)
-                    if inner.size == 0:
-                        break
-                    here = at[inner]
-                    goes = x[inner, f[inner]] < cut[here]
-                    at[inner] = np.where(goes, below[here], above[here])
-                total += path[at]
-            pdf = pdf[[KEY, "ts", "i", "y"]].copy()
-            pdf["score"] = 2.0 ** (-total / max(len(forest), 1) / max(usual, 1e-12))
-            yield pdf
-
-    scored = written(
-        scaled.mapInPandas(score, f"{KEY} string, ts timestamp_ntz, i long, y double, score double"), "scores"
-    )
+    schema = f"{KEY} string, tree int, node int, feature int, cut double, below int, above int, path double, size int"
+    # at most trees x 2 x sample nodes a series
+    grown = written(drawn.groupBy(KEY, "tree").applyInPandas(grow, schema), "trees")
+    blocked = with_block(scaled)
+    homes = grown.join(blocked.select(F.col(KEY).alias("owner"), F.col("blk").alias("home")).distinct(), F.col(KEY) == F.col("owner")).drop(KEY)
+
+    def score(pdf, nodes):
+        x = pdf[inputs].to_numpy()
+        total = np.zeros(len(x))
+        for _, t in nodes.sort_values(["tree", "node"]).groupby("tree"):
+            feature, cut, below, above, path = (t[c].to_numpy() for c in ("feature", "cut", "below", "above", "path"))
+            at = np.zeros(len(x), dtype=int)
+            while True:
+                f = feature[at]
+                inner = np.flatnonzero(f >= 0)
+                if inner.size == 0:
+                    break
+                here = at[inner]
+                goes = x[inner, f[inner]] < cut[here]
+                at[inner] = np.where(goes, below[here], above[here])
+            total += path[at]
+        usual = _average_path(int(nodes["size"].max()))
+        out = pdf[[KEY, "ts", "i", "y"]].copy()
+        out["score"] = 2.0 ** (-total / max(nodes["tree"].nunique(), 1) / max(usual, 1e-12))
+        return out
+
+    pairs = blocked.groupBy(KEY, "blk").cogroup(homes.groupBy("owner", "home"))
+    scored = written(pairs.applyInPandas(score, f"{KEY} string, ts timestamp_ntz, i long, y double, score double"), "scores")
     cuts = quantiles(scored, {"cut": 1 - contamination}, value="score")
     return attach(scored, cuts).select(
         KEY, "ts", "i", "y", "score", (F.col("score") > F.col("cut")).alias("is_anomaly")

@@ -663,15 +663,25 @@ def next_30(spark, sf):
 
 
 def _learned(spark, sf):
-    """Monthly sales per brand, profiled and benchmarked: the classifier's training series."""
+    """Features and training rows of the classifier, written once per session and scale."""
+    features = shared(spark, sf, "learned_features", lambda: _brands(spark, sf)[0])
+    return features, shared(spark, sf, "learned_rows", lambda: _brand_rows(spark, sf))
+
+
+def _brands(spark, sf):
+    """Monthly sales per brand with their profile: the classifier's training series."""
     lines = table(spark, sf, "lineitem").join(
         table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"
     )
     panel = written(build_panel(lines, "p_brand", "l_shipdate", "l_quantity", "month"), "brands")
     frequencies = written(quality.detect_frequency(panel), "frequencies")
-    features = written(profile.profile(panel, frequencies), "features")
-    scores = compare(Bench(panel, 0.8, features), ALL).scores
-    return features, written(meta.training_set(features, scores), "training")
+    return profile.profile(panel, frequencies), panel
+
+
+def _brand_rows(spark, sf):
+    features, panel = _brands(spark, sf)
+    features = written(features, "features")
+    return meta.training_set(features, compare(Bench(panel, 0.8, features), ALL).scores)
 
 
 @query
