@@ -3,6 +3,8 @@
 A block of a series (plus halo) becomes one grouped task that returns a short vector; the
 vectors of a series add up. The sums run as an ordinary aggregation with map-side combine,
 so the work for one long series spreads over its blocks.
+
+A recursion without end (smoothing) can't be cut; in_order() runs it through each series batch by batch.
 """
 
 from __future__ import annotations
@@ -64,3 +66,36 @@ def rows_to_pandas(df: DataFrame, finish: Callable[[dict], dict], schema: str) -
             yield pd.DataFrame({c: pd.Series([m.get(c) for m in made], dtype=object) for c in names})
 
     return df.mapInPandas(run, schema)
+
+
+def in_order(df: DataFrame, walk: Callable[[pd.Series], object], schema: str) -> DataFrame:
+    """Run through every series in the order of i, holding no more than a batch and the state.
+
+    walk(first row) gives the state of a series: an object whose feed(rows) and close() return a frame or
+    None. Its first rows come in one piece of ``need`` rows at least, if the series has as many.
+    """
+
+    def run(batches):
+        key, state, waiting = None, None, []
+        for batch in batches:
+            for name, part in batch.groupby(KEY, sort=False, dropna=False):
+                name = None if pd.isna(name) else name
+                if state is None or name != key:
+                    yield from ended(state, waiting)
+                    key, state, waiting = name, walk(part.iloc[0]), []
+                waiting.append(part)
+                if sum(map(len, waiting)) >= state.need:
+                    yield from shown(state.feed(pd.concat(waiting, ignore_index=True)))
+                    waiting, state.need = [], 1
+        yield from ended(state, waiting)
+
+    def ended(state, waiting):
+        if waiting:
+            yield from shown(state.feed(pd.concat(waiting, ignore_index=True)))
+        if state is not None:
+            yield from shown(state.close())
+
+    def shown(frame):
+        return [] if frame is None else [frame]
+
+    return df.repartition(KEY).sortWithinPartitions(KEY, "i").mapInPandas(run, schema)

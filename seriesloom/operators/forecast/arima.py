@@ -220,3 +220,17 @@ def fitted_kernel(y: np.ndarray, s: int, phi, theta, sphi, stheta) -> np.ndarray
         e[t] = w[t] - guess
     out[s + 1 :] = y[s + 1 :] - e
     return out
+
+
+def fitted_steps(y: np.ndarray, phi: float, theta: float, before: tuple | None):
+    """One-step fits without a season of the next rows, and what to pass on: last value, change and error."""
+    out = np.empty(y.size)
+    last, w, e = before or (y[0], 0.0, 0.0)
+    for t in range(y.size):
+        guess = 0.0 if before is None and t == 0 else phi * w + theta * e
+        out[t] = last + guess
+        # the first row has no change
+        if before is not None or t:
+            w, e = y[t] - last, y[t] - out[t]
+        last = y[t]
+    return out, (last, w, e)

@@ -1,10 +1,8 @@
 """Additive-trend exponential smoothing, with or without an additive season.
 
-Smoothing runs through a series in order. A long series is cut into blocks, and each block
-starts from a warm-up over the rows before it: the effect of a start value fades like
-(1 - rate)^(rows / season), so after the warm-up it is far below rounding for the rates on
-the grid. All parameter combinations of the grid move forward together as one vector, the
-squared errors of the blocks add up, and the best combination is taken per series.
+Smoothing runs through a whole series in order, batch by batch with exact state, so neither the length
+of a series nor that of its season changes the result. All parameter combinations of the grid move
+forward together as one vector, and the best combination is taken per series.
 """
 
 from __future__ import annotations
@@ -12,16 +10,15 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.blocks import block_vectors, rows_to_pandas
+from seriesloom.functions.blocks import in_order
 from seriesloom.panel import KEY, attach
-from seriesloom.session import block_rows
 
-WARM_UP = 16_384
 ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9)
-BETAS = (0.01, 0.05, 0.1, 0.3)  # never 0: a slope that is never updated would not fade
+BETAS = (0.01, 0.05, 0.1, 0.3)
 GAMMAS = (0.05, 0.1, 0.3, 0.5, 0.7)
 SCHEMA = (
     f"{KEY} string, status string, error string, season int, alpha double, beta double, gamma double, "
@@ -44,82 +41,89 @@ def _start(y: np.ndarray, m: int):
     return level, slope, np.zeros(1)
 
 
-def smooth_forward(y: np.ndarray, phase0: int, m: int, rates: np.ndarray, count_from: int):
-    """Return (squared error from count_from on, level, slope, season by phase, one-step fits)."""
-    alpha, trend_rate, gamma = rates[:, 0], rates[:, 0] * rates[:, 1], rates[:, 2]
-    if m > 1:
-        # a seasonal rate above 1 - alpha would not be stable
-        gamma = np.minimum(gamma, 0.9 * (1 - alpha))
-    level0, slope0, offsets = _start(y, m)
-    level, slope = np.full(len(rates), level0), np.full(len(rates), slope0)
-    season = np.zeros((m, len(rates)))
-    season[(phase0 + np.arange(m)) % m] = offsets[:, None]
-    sse = np.zeros(len(rates))
-    fits = np.empty((y.size, len(rates))) if len(rates) == 1 else None
-    for t in range(y.size):
-        row = season[(phase0 + t) % m]
-        ahead = level + slope
-        if fits is not None:
-            fits[t] = ahead + row
-        error = y[t] - ahead - row
-        level = ahead + alpha * error
-        slope = slope + trend_rate * error
+class Smoother:
+    """Smoothing of one series; rows come in order, the first 2 m (without a season: 10) of them at once."""
+
+    def __init__(self, phase0: int, m: int, rates: np.ndarray):
+        self.phase0, self.m, self.rates, self.seen = phase0, m, rates, 0
+        self.need = 2 * m if m > 1 else 10
+        self.sse, self.season = np.zeros(len(rates)), np.zeros((m, len(rates)))
+
+    def feed(self, y: np.ndarray) -> np.ndarray | None:
+        """Move on by y; with one set of rates, return the one-step fits."""
+        m, rates = self.m, self.rates
+        alpha, trend_rate, gamma = rates[:, 0], rates[:, 0] * rates[:, 1], rates[:, 2]
         if m > 1:
-            row += gamma * error
-        if t >= count_from:
+            # a seasonal rate above 1 - alpha would not be stable
+            gamma = np.minimum(gamma, 0.9 * (1 - alpha))
+        if not self.seen:
+            level0, slope0, offsets = _start(y, m)
+            self.level, self.slope = np.full(len(rates), level0), np.full(len(rates), slope0)
+            self.season[(self.phase0 + np.arange(m)) % m] = offsets[:, None]
+        level, slope, sse = self.level, self.slope, self.sse
+        fits = np.empty((y.size, len(rates))) if len(rates) == 1 else None
+        for t in range(y.size):
+            row = self.season[(self.phase0 + self.seen + t) % m]
+            ahead = level + slope
+            if fits is not None:
+                fits[t] = ahead + row
+            error = y[t] - ahead - row
+            level = ahead + alpha * error
+            slope = slope + trend_rate * error
+            if m > 1:
+                row += gamma * error
             sse += error * error
-    return sse, level, slope, season, fits
+        self.level, self.slope, self.seen = level, slope, self.seen + y.size
+        return None if fits is None else fits[:, 0]
 
 
 def fit(train: DataFrame, seasonal: bool = True, value: str = "y") -> DataFrame:
     """Best grid point and final state per series, from one pass over the data."""
-    rows = train.select(
-        KEY, "i", F.col(value).alias("y"), "n_train", F.col("season") if seasonal else F.lit(1).alias("season")
-    )
+    rows = train.select(KEY, "i", F.col(value).alias("y"), F.col("season") if seasonal else F.lit(1).alias("season"))
     rates = grid(seasonal)
-    g = len(rates)
-    least = lambda m: 2 * m if m > 1 else 3
-
-    def kernel(pdf, own):
-        n, m = int(pdf["n_train"].iloc[0]), int(pdf["season"].iloc[0])
-        vec = np.zeros(g * (3 + m))
-        y = pdf["y"].to_numpy(float)
-        if n < least(m) or y.size < least(m):
-            return vec
-        # a grid point that diverges on this series loses by its squared error
-        with np.errstate(over="ignore", invalid="ignore"):
-            sse, level, slope, season, _ = smooth_forward(y, int(pdf["i"].iloc[0]) % m, m, rates, int(np.argmax(own)))
-        vec[:g] = np.where(np.isnan(sse) & np.isfinite(y).all(), np.inf, sse)
-        if pdf["i"].iloc[-1] == n - 1:
-            vec[g:] = np.concatenate([level, slope, season.ravel()])
-        return vec
-
-    def finish(row):
-        n, m = int(row["n_train"]), int(row["season"])
-        out = {KEY: row[KEY], "status": "failed", "season": m}
-        vec = np.asarray(row["vec"], float)
-        if n < least(m):
-            return {**out, "error": "fewer rows than two seasons"}
-        if np.isnan(vec[:g]).any():
-            return {**out, "error": "series has missing values"}
-        best = int(np.argmin(vec[:g]))
-        state = vec[g:].reshape(2 + m, g)[:, best]
-        alpha, beta, gamma = (float(v) for v in rates[best])
-        return {
-            **out,
-            "status": "success",
-            "error": None,
-            "alpha": alpha,
-            "beta": beta,
-            "gamma": gamma,
-            "level": float(state[0]),
-            "slope": float(state[1]),
-            "pattern": state[2:].tolist(),
-            "sse": float(vec[best]),
-        }
-
-    back = min(WARM_UP, block_rows(train.sparkSession))
-    return rows_to_pandas(block_vectors(rows, kernel, back=back, keep=["n_train", "season"]), finish, SCHEMA)
+    names = [part.strip().split(" ")[0] for part in SCHEMA.split(",")]
+
+    class Fit:
+        def __init__(self, first):
+            self.key, self.m, self.whole = first[KEY], int(first["season"]), True
+            self.least = 2 * self.m if self.m > 1 else 3
+            self.smoother = Smoother(int(first["i"]) % self.m, self.m, rates)
+            self.need = self.smoother.need
+
+        def feed(self, pdf):
+            y = pdf["y"].to_numpy(float)
+            self.whole &= bool(np.isfinite(y).all())
+            # only the first piece of a series that is too short has fewer rows
+            if self.smoother.seen or y.size >= self.least:
+                # a grid point that diverges on this series loses by its squared error
+                with np.errstate(over="ignore", invalid="ignore"):
+                    self.smoother.feed(y)
+
+        def close(self):
+            out = {KEY: self.key, "status": "failed", "season": self.m}
+            s = self.smoother
+            if not s.seen:
+                out["error"] = "fewer rows than two seasons"
+            elif not self.whole:
+                out["error"] = "series has missing values"
+            else:
+                sse = np.where(np.isnan(s.sse), np.inf, s.sse)
+                best = int(np.argmin(sse))
+                alpha, beta, gamma = (float(v) for v in rates[best])
+                out |= {
+                    "status": "success",
+                    "alpha": alpha,
+                    "beta": beta,
+                    "gamma": gamma,
+                    "level": float(s.level[best]),
+                    "slope": float(s.slope[best]),
+                    "pattern": s.season[:, best].tolist(),
+                    "sse": float(sse[best]),
+                }
+            # object columns keep a missing array as None
+            return pd.DataFrame({c: pd.Series([out.get(c)], dtype=object) for c in names})
+
+    return in_order(rows, Fit, SCHEMA)
 
 
 def predict(params: DataFrame, future: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seriesloom.functions.blocks import in_order
 from seriesloom.operators.decompose import decompose
 from seriesloom.operators.forecast import arima, boosted, ets, naive
 from seriesloom.panel import KEY, attach, in_halo, own_rows, with_halo
-from seriesloom.session import block_rows, written
+from seriesloom.session import written
 
 RESIDUAL_LAGS = (1, 2, 3)
 RESIDUAL_DEPTH = 3
@@ -41,24 +42,27 @@ def base_fits(train: DataFrame, arima_params: DataFrame, ets_params: DataFrame)
     known = arima_params.where("status = 'success'").select(KEY, "phi", "theta").join(
         ets_params.where("status = 'success'").select(KEY, "alpha", "beta", "gamma"), KEY
     )
-    spark = train.sparkSession
-    size = block_rows(spark)
-    rows = with_halo(attach(train.select(KEY, "i", "y", "n_train", "season"), known), back=min(ets.WARM_UP, size))
-
-    def run(key, pdf):
-        pdf = pdf.sort_values("i", ignore_index=True)
-        own = (pdf["i"].to_numpy() // size) == key[1]
-        y, m = pdf["y"].to_numpy(float), int(pdf["season"].iloc[0])
-        first = pdf.iloc[0]
-        if not own.any() or y.size < 2 * m:
-            pdf["base"] = y
-            return pdf.loc[own & False, [KEY, "i", "y", "base"]]
-        rates = np.array([[first["alpha"], first["beta"], first["gamma"]]])
-        smooth = ets.smooth_forward(y, int(first["i"]) % m, m, rates, 0)[4][:, 0]
-        pdf["base"] = 0.5 * (smooth + arima.fitted_kernel(y, 0, first["phi"], first["theta"], 0.0, 0.0))
-        return pdf.loc[own, [KEY, "i", "y", "base"]]
-
-    made = rows.groupBy(KEY, "w").applyInPandas(run, f"{KEY} string, i long, y double, base double")
+    rows = attach(train.select(KEY, "i", "y", "season"), known)
+
+    class Fits:
+        def __init__(self, first):
+            m = int(first["season"])
+            self.phi, self.theta = first["phi"], first["theta"]
+            self.smoother = ets.Smoother(int(first["i"]) % m, m, np.array([[first["alpha"], first["beta"], first["gamma"]]]))
+            self.need, self.least, self.before = self.smoother.need, 2 * m, None
+
+        def feed(self, pdf):
+            y = pdf["y"].to_numpy(float)
+            if not self.smoother.seen and y.size < self.least:
+                return None
+            smooth = self.smoother.feed(y)
+            one, self.before = arima.fitted_steps(y, self.phi, self.theta, self.before)
+            return pdf[[KEY, "i", "y"]].assign(base=0.5 * (smooth + one))
+
+        def close(self):
+            return None
+
+    made = in_order(rows, Fits, f"{KEY} string, i long, y double, base double")
     return made.withColumn("resid", F.col("y") - F.col("base"))
 
 

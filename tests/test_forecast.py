@@ -84,6 +84,37 @@ def test_smoothing_blocks_agree_with_one_pass(panel_of, spark, blocks):
     assert found[0].level + found[0].pattern[0] == pytest.approx(found[1].level + found[1].pattern[0], rel=1e-6)
 
 
+@pytest.mark.parametrize("season", [365, 1500])
+def test_smoothing_keeps_its_whole_past(panel_of, spark, blocks, season):
+    """Long seasons in short blocks, the last one far shorter than two seasons."""
+    rng = np.random.default_rng(8)
+    t = np.arange(4100)
+    y = 100 + 9 * np.sin(2 * np.pi * t / season) + np.cumsum(rng.normal(0, 0.3, t.size))
+    train = train_rows(split(panel_of({"a": y}), 1.0, seasons(spark, a=season)))
+    known = spark.createDataFrame([("a", "success", 0.4, 0.2)], "series_id string, status string, phi double, theta double")
+    found, fits = [], []
+    for size in (2000, 65_536):
+        blocks(size)
+        params = ets.fit(train)
+        found.append(params.first())
+        fits.append(values_of(hybrid.base_fits(train, known, params), "base"))
+    assert found[0] == found[1] and found[0].sse > 0
+    np.testing.assert_allclose(fits[0], fits[1], rtol=1e-9)
+    # the same recursion, row by row
+    r = found[0]
+    level, slope, pattern = ets._start(y, season)
+    gamma, sse, smooth = min(r.gamma, 0.9 * (1 - r.alpha)), 0.0, []
+    for k in range(t.size):
+        smooth.append(level + slope + pattern[k % season])
+        error = y[k] - smooth[-1]
+        level, slope = level + slope + r.alpha * error, slope + r.alpha * r.beta * error
+        pattern[k % season] += gamma * error
+        sse += error * error
+    assert (r.level, r.slope, r.sse) == pytest.approx((level, slope, sse), rel=1e-9)
+    np.testing.assert_allclose(r.pattern, pattern, rtol=1e-9, atol=1e-9)
+    np.testing.assert_allclose(fits[0], 0.5 * (np.array(smooth) + arima.fitted_kernel(y, 0, 0.4, 0.2, 0.0, 0.0)), rtol=1e-9)
+
+
 def test_additive_and_seasonal_smoothing(panel_of, spark):
     t = np.arange(730)
     y = 50 + 0.05 * t + 6 * np.sin(2 * np.pi * t / 7)
