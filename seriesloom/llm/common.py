@@ -40,6 +40,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def rows_by_key(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose key (kd, kt) is in stay; one row for each key."""
+    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # the columns travel as one struct, so none of them can clash with the key
+    marked = docs.select(F.struct("*").alias("rest"), F.coalesce(number, F.lit(0)).alias("kd"), F.xxhash64(number, text).alias("kt"))
+    return marked.join(stay.select("kd", "kt"), ["kd", "kt"], "left_semi").dropDuplicates(["kd", "kt"]).select("rest.*")
+
+
 class Scratch:
     """Tables of one run in the shared folder; drop() deletes what no later step reads.
 

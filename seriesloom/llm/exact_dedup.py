@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import BLANKS, Scratch, keyed, salted_left_join
+from seriesloom.llm.common import BLANKS, Scratch, keyed, rows_by_key, salted_left_join
 
 # at least 512 code points, then up to the next early-letter late-letter pair, at most 4,096
 CHUNK = r"(?s).{512,4094}?[a-m][n-z]|.{1,4096}"
@@ -76,8 +76,5 @@ def decide(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxhash64)
 
 def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"_kd": F.coalesce(number, F.lit(0)), "_kt": F.xxhash64(number, text)})
-    stay = decide(docs).where("kept").select(F.col("kd").alias("_kd"), F.col("kt").alias("_kt"))
     # rows with one key repeat id and text: one of them stays
-    return marked.join(stay, ["_kd", "_kt"], "left_semi").dropDuplicates(["_kd", "_kt"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows_by_key(docs, decide(docs).where("kept"))

@@ -142,12 +142,11 @@ def _stack(frame: pd.DataFrame) -> np.ndarray:
 def fit(rows: DataFrame) -> Model:
     """Fit on rows of (stats, label, calibrate); rows flagged calibrate only shape the calibration."""
     vector = array_to_vector(F.col("stats").cast("array<double>"))
-    known = rows.agg(
-        Summarizer.metrics("mean", "std").summary(vector).alias("m"), F.avg("label").alias("prior"), F.countDistinct("label").alias("kinds")
-    ).first()
+    known = rows.agg(F.avg("label").alias("prior"), F.countDistinct("label").alias("kinds")).first()
     if known.prior is None:
         return Model(np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)), 0.5)
-    model = Model(known.m.mean.toArray(), np.maximum(known.m.std.toArray(), 1e-6), known.prior)
+    moments = rows.agg(Summarizer.metrics("mean", "std").summary(vector).alias("m")).first().m
+    model = Model(moments.mean.toArray(), np.maximum(moments.std.toArray(), 1e-6), known.prior)
     if known.kinds < 2:
         return model
 

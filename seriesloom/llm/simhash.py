@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import Scratch, salted_left_join
+from seriesloom.llm.common import Scratch, rows_by_key, salted_left_join
 from seriesloom.llm.components import connected
 from seriesloom.session import ship_package
 
@@ -178,16 +178,9 @@ def group(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return salted_left_join(rows, members, ["fp"], F.col("kt")).select("doc_id", "kt", "fp", "component_id", "top")
 
 
-def first_rows(docs: DataFrame, groups: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, width: int = WORDS) -> DataFrame:
     """One row of docs per component with all its columns: the one with the smallest doc_id, null last."""
-    number, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"_kd": F.coalesce(number, F.lit(0)), "_kt": F.xxhash64(number, text)})
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "kt"))
-    stay = groups.groupBy("top").agg(first.alias("f")).select(F.coalesce("f.doc_id", F.lit(0)).alias("_kd"), F.col("f.kt").alias("_kt"))
+    stay = group(docs, width).groupBy("top").agg(first.alias("f"))
     # rows with one key repeat id and text: one of them stays
-    return marked.join(stay, ["_kd", "_kt"], "left_semi").dropDuplicates(["_kd", "_kt"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-def keep_rows(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """The first row of docs of every component."""
-    return first_rows(docs, group(docs, width))
+    return rows_by_key(docs, stay.select(F.coalesce("f.doc_id", F.lit(0)).alias("kd"), F.col("f.kt").alias("kt")))

@@ -8,7 +8,7 @@ whole text.
 
 Defined cases: null and empty texts have no feature and get the score of the bias alone; rows with
 a null id are scored and never learned from; labels other than 0 and 1 are ignored; without labels
-all scores are 0.5; extra columns are ignored; an empty table gives an empty result.
+all scores are 0.5 and keep_clean rejects nothing; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -137,9 +137,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns."""
+    """The rows of docs that are not predicted toxic, with all their columns; without labels, all rows."""
     spark = ship_package(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(train(docs, labels))
+    places, weights, bias = train(docs, labels)
+    if not len(places) and bias == 0:
+        return docs
+    shared = spark.sparkContext.broadcast((places, weights, bias))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,5 +30,19 @@ def test_stages(spark):
     assert seen["packing"][1].agg({"piece_length": "sum"}).first()[0] == after.select(packing.word_count(after.text).alias("n")).agg({"n": "sum"}).first()[0]
 
 
+def test_chain_on_odd_and_empty_tables(spark, make_docs, odd_pairs, tmp_path):
+    for name, pairs in (("odd", odd_pairs), ("empty", [])):
+        folder = str(tmp_path / name)
+        docs = make_docs(pairs).withColumnsRenamed({"row": "_kd", "h": "kt"})
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert (len(rows) > 0) == (len(pairs) > 0)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, folder)
+            assert after.columns == docs.columns
+            assert {r["_kd"] for r in after.collect()} <= {1}
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).columns[:2] == ["doc_id", "piece"]
