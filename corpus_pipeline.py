@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; its result
 is written as Parquet and read again for the next one. All stages but the last return the columns
 of documents.
+
+Defined cases: null texts count as empty and pass the toxicity stage by their score; of equal texts, empty
+ones included, one document stays; rows that repeat id and text are one document; extra columns are
+carried along, whatever their names; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seriesloom.llm import exact_dedup, jaccard, packing, suffix_dedup, toxicity
+from seriesloom.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import Scratch, table
 from seriesloom.session import ship_package
 
@@ -27,9 +31,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group whose links share at least 0.8 of their five-word shingles."""
+    """One document of every group whose fingerprints link; shingle length and bit distance are the operator's own."""
     ship_package(spark)
-    return jaccard.keep_rows(docs)
+    return simhash.keep_rows(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,6 +63,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(ship_package(spark), "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
