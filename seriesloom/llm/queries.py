@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, exact_dedup, language, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from seriesloom.llm import byte_bpe, exact_dedup, hard_negatives, language, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import table
 
 
@@ -55,11 +55,16 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stripped.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op4_best_fit_packing, op5_simhash, op6_suffix_dedup,
-        op7_byte_bpe, op8_toxicity, op9_language, op10_line_dedup,
+        op7_byte_bpe, op8_toxicity, op9_language, op10_line_dedup, op11_hard_negatives,
     )
 }
 
@@ -127,4 +132,26 @@ SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
         FROM m GROUP BY doc_id
     """,
+    "op11_hard_negatives": """
+        WITH e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                   CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+            FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        ), n AS (
+            SELECT anchor_id, positive_id, positive_score, other_id AS negative_id, score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+            FROM p JOIN s USING (anchor_id)
+            WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+    """,
 }
