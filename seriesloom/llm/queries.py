@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, exact_dedup, hard_negatives, language, line_dedup, packing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from seriesloom.llm import byte_bpe, exact_dedup, hard_negatives, language, line_dedup, packing, positional_index, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import table
 
 
@@ -60,11 +60,21 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op4_best_fit_packing, op5_simhash, op6_suffix_dedup,
         op7_byte_bpe, op8_toxicity, op9_language, op10_line_dedup, op11_hard_negatives,
+        op13_decontaminate,
     )
 }
 
@@ -154,4 +164,34 @@ SQL: dict[str, str] = {
         )
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
     """,
+    "op13_decontaminate": """
+        WITH d AS (
+            SELECT doc_id, w, len(w) AS n_words FROM (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                FROM documents)
+        ), b AS (
+            SELECT item_id, w, len(w) AS n FROM (
+                SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+                FROM benchmark)
+            WHERE len(w) > 0
+        ), q AS (
+            SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + 9), ' ') AS gram, least(n, 10) AS size
+            FROM (SELECT item_id, w, n, unnest(range(1, greatest(n - 8, 2))) AS i FROM b)
+        ), g AS (
+            SELECT doc_id, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS gram
+            FROM (SELECT doc_id, w, size, unnest(range(1, n_words - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM q) WHERE n_words >= size)
+        ), m AS (
+            SELECT doc_id, i, size, item_id FROM g JOIN q USING (gram, size)
+        ), h AS (
+            SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM m, range(10) AS s(j) WHERE j < size GROUP BY doc_id
+        ), t AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+            FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY doc_id
+        )
+        SELECT doc_id, n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+    """,
 }
