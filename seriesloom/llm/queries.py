@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesloom.llm import byte_bpe, exact_dedup, hard_negatives, language, line_dedup, packing, positional_index, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from seriesloom.llm import byte_bpe, collocations, exact_dedup, hard_negatives, language, line_dedup, packing, positional_index, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from seriesloom.llm.common import table
 
 
@@ -60,6 +60,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
@@ -74,7 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_classifier, op2_exact_dedup, op3_quality_rules, op4_best_fit_packing, op5_simhash, op6_suffix_dedup,
         op7_byte_bpe, op8_toxicity, op9_language, op10_line_dedup, op11_hard_negatives,
-        op13_decontaminate,
+        op12_collocations, op13_decontaminate,
     )
 }
 
@@ -164,6 +168,37 @@ SQL: dict[str, str] = {
         )
         SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
     """,
+    "op12_collocations": """
+        WITH p AS (
+            SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+            FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+                  FROM documents)
+        ), g AS (
+            SELECT lang, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase
+            FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 6) AS s(m) WHERE len(w) >= m)
+        ), f AS (
+            SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL
+        ), n AS (
+            SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang
+        ), c AS (
+            SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND f >= 100
+        ), o AS (
+            SELECT DISTINCT c.lang, c.phrase FROM c JOIN c AS x
+            ON x.lang = c.lang AND x.m > c.m AND 100 * x.a >= 100 * c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' ')
+        ), k AS (
+            SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y
+            FROM c ANTI JOIN o USING (lang, phrase), range(1, 5) AS s(k) WHERE k < m
+        ), s AS (
+            SELECT k.lang, k.phrase, a, k, u.f AS l, v.f AS r, n,
+                   CAST(1000::HUGEINT * a * n // (u.f::HUGEINT * v.f) AS BIGINT) AS score
+            FROM k JOIN f AS u ON u.lang = k.lang AND u.phrase = x JOIN f AS v ON v.lang = k.lang AND v.phrase = y JOIN n ON n.lang = k.lang
+        ), b AS (
+            SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM b QUALIFY rank <= 2000
+    """,
     "op13_decontaminate": """
         WITH d AS (
             SELECT doc_id, w, len(w) AS n_words FROM (
