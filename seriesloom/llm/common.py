@@ -78,8 +78,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def salted_left_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt_from: Column, salts: int = 32) -> DataFrame:
-    """Left join of many rows with one row per key; the rows of a hot key go to `salts` tasks."""
+def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt_from: Column, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join of many rows with few rows per key; the rows of a hot key go to `salts` tasks."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], "left").drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+def salted_left_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt_from: Column, salts: int = 32) -> DataFrame:
+    return salted_join(rows, groups, keys, salt_from, "left", salts)

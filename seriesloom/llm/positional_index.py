@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import Scratch, salted_left_join
+from seriesloom.llm.common import Scratch, salted_join, salted_left_join
 from seriesloom.session import ship_package
 
 WINDOW = 10
@@ -151,7 +151,9 @@ def _segments(index: DataFrame, queries: DataFrame) -> DataFrame:
     Columns: segment, batch, kind (0 documents, 1 postings, 2 queries), term, body, id, terms, counts.
     """
     terms = queries.select("batch", F.explode(F.array_distinct("terms")).alias("term")).distinct()
-    totals = index.where("term <> ''").join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("n").alias("total"))
+    # a common term has rows in every segment, so its rows are dealt by segment
+    known = salted_join(index.select("segment", "term", "n"), terms.select("term").distinct(), ["term"], F.col("segment"), "left_semi")
+    totals = known.groupBy("term").agg(F.sum("n").alias("total"))
     per_term = queries.select("id", F.explode("terms").alias("term")).join(totals, "term", "left")
     counted = per_term.groupBy("id").agg(
         F.min(F.struct(F.coalesce("total", F.lit(0)).alias("total"), "term")).alias("rare"),
@@ -159,8 +161,8 @@ def _segments(index: DataFrame, queries: DataFrame) -> DataFrame:
     )
     # a term that the index lacks: the query is found nowhere
     live = queries.join(counted.where("rare.total > 0"), "id")
-    places = index.select("segment", "term")
-    sent = live.select("id", "batch", "terms", F.transform("terms", lambda t: F.col("counts")[t]).alias("counts"), F.col("rare.term").alias("term")).join(places, "term")
+    asked = live.select("id", "batch", "terms", F.transform("terms", lambda t: F.col("counts")[t]).alias("counts"), F.col("rare.term").alias("term"))
+    sent = salted_join(index.select("segment", "term"), asked, ["term"], F.col("segment"))
     empty = {"term": "string", "body": "binary", "id": "long", "terms": "array<string>", "counts": "array<long>"}
 
     def shaped(df: DataFrame, kind: int) -> DataFrame:
@@ -169,7 +171,7 @@ def _segments(index: DataFrame, queries: DataFrame) -> DataFrame:
 
     # the documents of a segment go with its first batch, and also there if no query does
     documents = index.where("term = ''").select("segment", F.lit(0).cast("long").alias("batch"), "body")
-    lists = index.join(terms, "term").select("segment", "batch", "term", "body")
+    lists = salted_join(index, terms, ["term"], F.col("segment")).select("segment", "batch", "term", "body")
     others = sent.where("batch > 0").select("segment", "batch").distinct()
     more = index.where("term = ''").select("segment", "body").join(others, "segment").select("segment", "batch", "body")
     parts = [shaped(documents.unionByName(more), 0), shaped(lists, 1), shaped(sent.drop("term"), 2)]
