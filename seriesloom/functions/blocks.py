@@ -3,8 +3,6 @@
 A block of a series (plus halo) becomes one grouped task that returns a short vector; the
 vectors of a series add up. The sums run as an ordinary aggregation with map-side combine,
 so the work for one long series spreads over its blocks.
-
-A recursion without end (smoothing) can't be cut; in_order() runs it through each series batch by batch.
 """
 
 from __future__ import annotations
@@ -13,7 +11,9 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesloom.panel import KEY, with_halo
@@ -46,13 +46,13 @@ def block_vectors(
         return pd.DataFrame(out)
 
     parts = with_halo(df, back=back).groupBy(KEY, "w").applyInPandas(run, schema)
-    summed = (
-        parts.select(KEY, *keep, F.posexplode("vec").alias("pos", "val"))
-        .groupBy(KEY, *keep, "pos")
-        .agg(F.sum("val").alias("val"))
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "val")))
-    return summed.groupBy(KEY, *keep).agg(F.transform(ordered, lambda s: s["val"]).alias("vec"))
+    return parts.groupBy(KEY, *keep).agg(sum_vectors("vec").alias("vec"))
+
+
+def sum_vectors(column: str) -> Column:
+    """The sum of arrays of one length, element by element, as one aggregate; pandas hands over NaN as null."""
+    whole = F.transform(column, lambda v: F.coalesce(v, F.lit(float("nan"))))
+    return vector_to_array(Summarizer.sum(array_to_vector(whole)))
 
 
 def rows_to_pandas(df: DataFrame, finish: Callable[[dict], dict], schema: str) -> DataFrame:
@@ -68,34 +68,24 @@ def rows_to_pandas(df: DataFrame, finish: Callable[[dict], dict], schema: str) -
     return df.mapInPandas(run, schema)
 
 
-def in_order(df: DataFrame, walk: Callable[[pd.Series], object], schema: str) -> DataFrame:
-    """Run through every series in the order of i, holding no more than a batch and the state.
+def chain_blocks(df: DataFrame, keys: list[str], step: Callable[[object, object], tuple[object, dict | None]], schema: str) -> DataFrame:
+    """Fold rows that stand for blocks, in the order of blk, from the left: step(state, row) gives the next state and a row or None.
 
-    walk(first row) gives the state of a series: an object whose feed(rows) and close() return a frame or
-    None. Its first rows come in one piece of ``need`` rows at least, if the series has as many.
+    The state is None at the start of a key. Only the state and one batch are held.
     """
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
 
     def run(batches):
-        key, state, waiting = None, None, []
+        last, state = object(), None
         for batch in batches:
-            for name, part in batch.groupby(KEY, sort=False, dropna=False):
-                name = None if pd.isna(name) else name
-                if state is None or name != key:
-                    yield from ended(state, waiting)
-                    key, state, waiting = name, walk(part.iloc[0]), []
-                waiting.append(part)
-                if sum(map(len, waiting)) >= state.need:
-                    yield from shown(state.feed(pd.concat(waiting, ignore_index=True)))
-                    waiting, state.need = [], 1
-        yield from ended(state, waiting)
-
-    def ended(state, waiting):
-        if waiting:
-            yield from shown(state.feed(pd.concat(waiting, ignore_index=True)))
-        if state is not None:
-            yield from shown(state.close())
-
-    def shown(frame):
-        return [] if frame is None else [frame]
-
-    return df.repartition(KEY).sortWithinPartitions(KEY, "i").mapInPandas(run, schema)
+            made = []
+            for row in batch.itertuples(index=False):
+                key = tuple(getattr(row, k) for k in keys)
+                if key != last:
+                    last, state = key, None
+                state, out = step(state, row)
+                if out is not None:
+                    made.append(out)
+            yield pd.DataFrame({c: pd.Series([m.get(c) for m in made], dtype=object) for c in names})
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, "blk").mapInPandas(run, schema)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.functions.blocks import in_order
+from seriesloom.functions.blocks import chain_blocks
+from seriesloom.functions.smoothing import Smoother
 from seriesloom.operators.decompose import decompose
 from seriesloom.operators.forecast import arima, boosted, ets, naive
 from seriesloom.panel import KEY, attach, in_halo, own_rows, with_halo
-from seriesloom.session import written
+from seriesloom.session import block_rows, written
 
 RESIDUAL_LAGS = (1, 2, 3)
 RESIDUAL_DEPTH = 3
@@ -38,32 +40,68 @@ def fit_seasonal_ets(train: DataFrame, candidates: Sequence[int] | None = None)
 
 
 def base_fits(train: DataFrame, arima_params: DataFrame, ets_params: DataFrame) -> DataFrame:
-    """Training rows with the mean of both one-step fits and its residual."""
+    """Training rows with the mean of both one-step fits and its residual.
+
+    Both recursions go through a long series block by block, from the exact states at the block starts.
+    """
+    size = block_rows(train.sparkSession)
     known = arima_params.where("status = 'success'").select(KEY, "phi", "theta").join(
         ets_params.where("status = 'success'").select(KEY, "alpha", "beta", "gamma"), KEY
     )
-    rows = attach(train.select(KEY, "i", "y", "season"), known)
-
-    class Fits:
-        def __init__(self, first):
-            m = int(first["season"])
-            self.phi, self.theta = first["phi"], first["theta"]
-            self.smoother = ets.Smoother(int(first["i"]) % m, m, np.array([[first["alpha"], first["beta"], first["gamma"]]]))
-            self.need, self.least, self.before = self.smoother.need, 2 * m, None
-
-        def feed(self, pdf):
-            y = pdf["y"].to_numpy(float)
-            if not self.smoother.seen and y.size < self.least:
-                return None
-            smooth = self.smoother.feed(y)
-            one, self.before = arima.fitted_steps(y, self.phi, self.theta, self.before)
-            return pdf[[KEY, "i", "y"]].assign(base=0.5 * (smooth + one))
-
-        def close(self):
-            return None
-
-    made = in_order(rows, Fits, f"{KEY} string, i long, y double, base double")
-    return made.withColumn("resid", F.col("y") - F.col("base"))
+    rows = attach(train.select(KEY, "i", "y", "season", F.col("n_train").alias("n")), known)
+    schema = f"{KEY} string, i long, y double, base double"
+
+    def fits(pdf, smoother, i, before):
+        y = pdf["y"].to_numpy(float)
+        one, _ = arima.fitted_steps(y, pdf["phi"].iloc[0], pdf["theta"].iloc[0], before)
+        return pdf[[KEY, "i", "y"]].assign(base=0.5 * (smoother.run(y, i) + one))
+
+    def rates(pdf):
+        return pdf[["alpha", "beta", "gamma"]].to_numpy(float)[:1]
+
+    def whole(pdf):
+        pdf = pdf.sort_values("i", ignore_index=True)
+        m, i = int(pdf["season"].iloc[0]), int(pdf["i"].iloc[0])
+        if len(pdf) < 2 * m:
+            return pd.DataFrame({KEY: [], "i": [], "y": [], "base": []})
+        return fits(pdf, Smoother(m, rates(pdf)).begin(pdf["y"].to_numpy(float), i), i, None)
+
+    short = rows.where(F.col("n") <= size).groupBy(KEY).applyInPandas(whole, schema)
+
+    long = rows.where((F.col("n") > size) & (F.col("n") >= 2 * F.col("season")))
+    # a change needs the row before, and the first row of a block the change before
+    reach = with_halo(long, back=2)
+
+    def parts(pdf, blk):
+        pdf = pdf.sort_values("i", ignore_index=True)
+        own = (pdf["i"] // size == blk).to_numpy()
+        y, rows = pdf["y"].to_numpy(float), pdf[own].reset_index(drop=True)
+        first = int(np.argmax(own))
+        return rows, (y[first - 1], y[first - 1] - y[first - 2] if first > 1 else 0.0) if first else None
+
+    def from_zero(key, pdf):
+        rows, before = parts(pdf, key[1])
+        _, (_, _, e) = arima.fitted_steps(rows["y"].to_numpy(float), rows["phi"].iloc[0], rows["theta"].iloc[0], before and (*before, 0.0))
+        return pd.DataFrame({KEY: [key[0]], "blk": [key[1]], "e": [e], "theta": [rows["theta"].iloc[0]]})
+
+    ends = reach.groupBy(KEY, "w").applyInPandas(from_zero, f"{KEY} string, blk long, e double, theta double")
+
+    def compose(e, row):
+        e = row.e + (-row.theta) ** size * (e or 0.0)
+        return e, {KEY: row.series_id, "blk": row.blk + 1, "e": e}
+
+    errors = chain_blocks(ends, [KEY], compose, f"{KEY} string, blk long, e double")
+    starts = ets.block_starts(long, size).join(errors, [KEY, "blk"], "left").withColumnRenamed("blk", "w")
+
+    def block(left, right):
+        if left.empty:
+            return pd.DataFrame({KEY: [], "i": [], "y": [], "base": []})
+        rows, before = parts(left, left["w"].iloc[0])
+        smoother = Smoother(int(rows["season"].iloc[0]), rates(rows)).place(np.array(right["state"].tolist(), float))
+        return fits(rows, smoother, int(rows["i"].iloc[0]), before and (*before, float(right["e"].iloc[0])))
+
+    made = reach.groupBy(KEY, "w").cogroup(starts.groupBy(KEY, "w")).applyInPandas(block, schema)
+    return short.unionByName(made).withColumn("resid", F.col("y") - F.col("base"))
 
 
 def predict_boosted(

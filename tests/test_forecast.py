@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from seriesloom.functions.smoothing import Carrier, Smoother, first_state
 from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive
 from seriesloom.operators.forecast.split import metrics, rank_models, split, holdout_rows, train_rows
 from seriesloom.plans.benchmark import ALL, Bench, compare, forecast_frame
@@ -84,35 +85,57 @@ def test_smoothing_blocks_agree_with_one_pass(panel_of, spark, blocks):
     assert found[0].level + found[0].pattern[0] == pytest.approx(found[1].level + found[1].pattern[0], rel=1e-6)
 
 
-@pytest.mark.parametrize("season", [365, 1500])
+@pytest.mark.parametrize("season", [1, 7, 365, 1000])
 def test_smoothing_keeps_its_whole_past(panel_of, spark, blocks, season):
-    """Long seasons in short blocks, the last one far shorter than two seasons."""
+    """Blocks shorter and longer than the season, the last one far shorter than two seasons, against the recursion row by row."""
     rng = np.random.default_rng(8)
-    t = np.arange(4100)
-    y = 100 + 9 * np.sin(2 * np.pi * t / season) + np.cumsum(rng.normal(0, 0.3, t.size))
-    train = train_rows(split(panel_of({"a": y}), 1.0, seasons(spark, a=season)))
-    known = spark.createDataFrame([("a", "success", 0.4, 0.2)], "series_id string, status string, phi double, theta double")
-    found, fits = [], []
-    for size in (2000, 65_536):
+    t = np.arange(3100)
+    y = 100 + 9 * np.sin(2 * np.pi * t / max(season, 30)) + np.cumsum(rng.normal(0, 0.3, t.size))
+    train = train_rows(split(panel_of({"a": y, "b": y[:2600] ** 1.1}), 1.0, seasons(spark, a=season, b=season)))
+    seasonal = season > 1
+    known = spark.createDataFrame([(k, "success", 0.4, 0.2) for k in "ab"], "series_id string, status string, phi double, theta double")
+    for size in (600, 1500, 65_536):
         blocks(size)
-        params = ets.fit(train)
-        found.append(params.first())
-        fits.append(values_of(hybrid.base_fits(train, known, params), "base"))
-    assert found[0] == found[1] and found[0].sse > 0
-    np.testing.assert_allclose(fits[0], fits[1], rtol=1e-9)
-    # the same recursion, row by row
-    r = found[0]
-    level, slope, pattern = ets._start(y, season)
-    gamma, sse, smooth = min(r.gamma, 0.9 * (1 - r.alpha)), 0.0, []
-    for k in range(t.size):
-        smooth.append(level + slope + pattern[k % season])
-        error = y[k] - smooth[-1]
-        level, slope = level + slope + r.alpha * error, slope + r.alpha * r.beta * error
-        pattern[k % season] += gamma * error
-        sse += error * error
-    assert (r.level, r.slope, r.sse) == pytest.approx((level, slope, sse), rel=1e-9)
-    np.testing.assert_allclose(r.pattern, pattern, rtol=1e-9, atol=1e-9)
-    np.testing.assert_allclose(fits[0], 0.5 * (np.array(smooth) + arima.fitted_kernel(y, 0, 0.4, 0.2, 0.0, 0.0)), rtol=1e-9)
+        params = ets.fit(train, seasonal)
+        found = {r.series_id: r for r in params.collect()}
+        for name, values in (("a", y), ("b", y[:2600] ** 1.1)):
+            r = found[name]
+            level, slope, pattern = first_state(values, season)
+            gamma, sse, smooth = min(r.gamma, 0.9 * (1 - r.alpha)) if seasonal else 0.0, 0.0, []
+            for k in range(values.size):
+                smooth.append(level + slope + pattern[k % season])
+                error = values[k] - smooth[-1]
+                level, slope = level + slope + r.alpha * error, slope + r.alpha * r.beta * error
+                pattern[k % season] += gamma * error
+                sse += error * error
+            assert (r.level, r.slope, r.sse) == pytest.approx((level, slope, sse), rel=1e-9, abs=1e-9)
+            np.testing.assert_allclose(r.pattern, pattern, rtol=1e-9, atol=1e-9)
+            if name == "a" and seasonal:
+                fits = values_of(hybrid.base_fits(train, known, params), "base")
+                np.testing.assert_allclose(fits, 0.5 * (np.array(smooth) + arima.fitted_kernel(values, 0, 0.4, 0.2, 0.0, 0.0)), rtol=1e-9)
+
+
+def test_long_series_without_a_fit(panel_of, spark, blocks):
+    blocks(100)
+    y = 10 + np.sin(np.arange(350.0))
+    gap = y.copy()
+    gap[222] = np.nan
+    train = train_rows(split(panel_of({"gap": gap, "few": y, "good": y}), 1.0, seasons(spark, gap=7, few=200, good=7)))
+    assert {r.series_id: r.error for r in ets.fit(train).collect()} == {"gap": ets.MISSING, "few": ets.TOO_SHORT, "good": None}
+
+
+def test_carried_states_equal_zero_rows():
+    rng = np.random.default_rng(1)
+    for m, n, i in ((1, 50, 3), (2, 7, 1), (7, 49, 5), (7, 5, 2), (12, 12, 0), (365, 1000, 17), (1000, 900, 77)):
+        rates = ets.grid(m > 1)
+        states = rng.normal(0, 1, (len(rates), m + 2))
+        if m == 1:
+            states[:, 2] = 0
+        smoother = Smoother(m, rates).place(states)
+        smoother.run(np.zeros(n), i)
+        carrier = Carrier(m, n, rates)
+        np.testing.assert_allclose(carrier.carry(states, i), smoother.states(), atol=1e-12)
+        np.testing.assert_allclose(carrier.carry(states[3:4], i, slice(3, 4)), smoother.states()[3:4], atol=1e-12)
 
 
 def test_additive_and_seasonal_smoothing(panel_of, spark):
