@@ -16,21 +16,21 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.panel import KEY, with_halo
+from seriesloom.panel import KEY, with_halo, with_reach
 from seriesloom.session import block_rows
 
 
 def block_vectors(
     df: DataFrame,
     kernel: Callable[[pd.DataFrame, np.ndarray], np.ndarray],
-    back: int,
+    back: int | Column,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Sum kernel(rows, own) over the blocks of each series.
 
     ``rows`` are the sorted rows of a block and its halo, ``own`` marks the rows that belong to
     it. All blocks of a series must return vectors of one length. ``keep`` names columns that are
-    constant in a series and are passed on.
+    constant in a series and are passed on. ``back`` is a number of rows, or ranges as with_reach() takes them.
     """
     size = block_rows(df.sparkSession)
     keep = list(keep)
@@ -45,7 +45,8 @@ def block_vectors(
         out = {KEY: [key[0]], **{c: [pdf[c].iloc[0]] for c in keep}, "vec": [kernel(pdf, own)]}
         return pd.DataFrame(out)
 
-    parts = with_halo(df, back=back).groupBy(KEY, "w").applyInPandas(run, schema)
+    served = with_halo(df, back=back) if isinstance(back, int) else with_reach(df, back)
+    parts = served.groupBy(KEY, "w").applyInPandas(run, schema)
     return parts.groupBy(KEY, *keep).agg(sum_vectors("vec").alias("vec"))
 
 

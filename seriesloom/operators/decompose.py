@@ -4,59 +4,110 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesloom.panel import KEY, attach, near, own_rows, with_halo
+from seriesloom.panel import KEY, attach, with_reach, with_running_sum
 from seriesloom.session import block_rows
 
 
-def _moving_average(p: int) -> Column:
-    """Centred mean over one period, null near the ends; an even period weighs both ends half."""
-    half = p // 2
-    wide = near(-half, half)
-    total = F.sum("y").over(wide)
-    if p % 2:
-        mean = total / p
-    else:
-        mean = (total + F.sum("y").over(near(-half + 1, half - 1))) / (2 * p) if half > 1 else (total + F.col("y")) / 4
-    return F.when(F.count("y").over(wide) == 2 * half + 1, mean)
+def moving_means(rows: DataFrame, size: int, longest: int) -> DataFrame:
+    """Add trend: the centred mean over one period, null near the ends and around missing values.
+
+    rows have KEY, ts, i, y, n and period (0: none). A period of up to two blocks takes its sums from the rows around a
+    block, a longer one from differences of the running sum, so each row is copied a few times however long the period is.
+    ``longest`` is no less than the longest period.
+    """
+    half = F.floor(F.col("period") / 2).cast("long")
+    schema = f"{KEY} string, ts timestamp_ntz, i long, y double, n long, period int, trend double"
+    columns = [KEY, "ts", "i", "y", "n", "period"]
+
+    def means(pdf: pd.DataFrame, own: np.ndarray, total, missing, value) -> pd.DataFrame:
+        """total(d), missing(d), value(d): running sums up to and value at d positions from the block's own rows."""
+        out = pdf.loc[own, columns]
+        p, i, n = int(out["period"].iloc[0]), out["i"].to_numpy(), int(out["n"].iloc[0])
+        trend, h = np.full(len(out), np.nan), p // 2
+        fits = (i >= h) & (i + h < n) & (p > 0)
+        if fits.any():
+            i = i[fits]
+            wide = total(i + h) - total(i - h - 1)
+            whole = missing(i + h) == missing(i - h - 1)
+            if p % 2 == 0:
+                # an even period weighs both ends half
+                wide = wide - 0.5 * (value(i + h) + value(i - h))
+            trend[fits] = np.where(whole, wide / p, np.nan)
+        return out.assign(trend=trend)
+
+    def around(key, pdf):
+        pdf = pdf.sort_values("i", ignore_index=True)
+        at, y = pdf["i"].to_numpy(), pdf["y"].to_numpy(float)
+        own = at // size == key[1]
+        if not own.any():
+            return pdf[columns].head(0).assign(trend=0.0)
+        # sums of what lies above the mean lose less to rounding
+        known = np.isfinite(y)
+        centre = y[known].mean() if known.any() else 0.0
+        sums = np.concatenate([[0.0], np.cumsum(np.where(known, y - centre, 0.0))])
+        gaps = np.concatenate([[0], np.cumsum(~known)])
+        place = lambda i: np.searchsorted(at, i, "right")
+        out = means(pdf, own, lambda i: sums[place(i)], lambda i: gaps[place(i)], lambda i: y[place(i) - 1] - centre)
+        out["trend"] += centre
+        return out
+
+    near = rows.where(F.col("period") <= 2 * size) if longest > 2 * size else rows
+    made = with_reach(near, F.array(F.struct((-half).alias("lo"), (half + 1).alias("hi")))).groupBy(KEY, "w").applyInPandas(around, schema)
+    if longest <= 2 * size:
+        return made
+
+    def apart(key, pdf):
+        pdf = pdf.sort_values("i", ignore_index=True)
+        at, y, centre = pdf["i"].to_numpy(), pdf["y"].to_numpy(float), float(pdf["centre"].iloc[0])
+        own = at // size == key[1]
+        if not own.any():
+            return pdf[columns].head(0).assign(trend=0.0)
+        sums, gaps = pdf["sums"].to_numpy(float), pdf["gaps"].to_numpy(float)
+
+        def before(values):
+            # there is no row before the first
+            return lambda i: np.where(i < 0, 0.0, values[np.minimum(np.searchsorted(at, np.maximum(i, 0)), len(at) - 1)])
+
+        out = means(pdf, own, before(sums), before(gaps), before(y - centre))
+        out["trend"] += centre
+        return out
+
+    far = rows.where(F.col("period") > 2 * size)
+    centres = far.groupBy(KEY).agg(F.coalesce(F.avg("y"), F.lit(0.0)).alias("centre"), F.max("i").alias("last_i"))
+    far = attach(far, centres).withColumn("above", F.coalesce(F.col("y") - F.col("centre"), F.lit(0.0)))
+    far = with_running_sum(with_running_sum(far, "above", "sums").withColumn("gap", F.col("y").isNull().cast("int")), "gap", "gaps")
+    ranges = F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in ((-half, -half), (0 * half, 0 * half), (half, half + 1))])
+    return made.unionByName(with_reach(far, ranges).groupBy(KEY, "w").applyInPandas(apart, schema))
 
 
 def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | None = None) -> DataFrame:
     """Add period, trend, seasonal, resid.
 
-    ``period`` is one number, or the name of a column with a period per series; ``candidates``
-    then lists the values it may take, by default all that occur. The trend ends
-    are extended by a line through the nearest ``period`` trend points. Components are null for
-    series with missing values or fewer than two periods.
+    ``period`` is one number, or the name of a column with a period per series; ``candidates`` may then list
+    its values, which saves a look at the longest one. The trend ends are extended by a line through the
+    nearest ``period`` trend points. Components are null for series with missing values or fewer than two periods.
 
     Both the lines at the ends and the seasonal means come from one aggregation: what the lines
     add to a seasonal mean depends only on sums of positions, so no second pass is needed.
     """
+    size = block_rows(panel.sparkSession)
     if isinstance(period, int):
-        candidates = [period]
-        rows = panel.select(KEY, "ts", "i", "y", F.lit(period).alias("period"))
+        longest, each = period, F.lit(period)
     else:
-        rows = panel.select(KEY, "ts", "i", "y", F.col(period).cast("int").alias("period"))
-        if candidates is None:
-            # one value per season length in use
-            candidates = [r.period for r in rows.select("period").distinct().collect() if r.period and r.period > 0]
-        candidates = sorted(set(candidates)) or [1]
-    size = block_rows(panel.sparkSession)
-    top = max(candidates)
-    reach = min(top // 2 + top + 1, size)
+        each = F.greatest(F.coalesce(F.col(period).cast("int"), F.lit(0)), F.lit(0))
+        longest = max(candidates) if candidates else panel.agg(F.max(each)).first()[0] or 0
+    rows = panel.select(KEY, "ts", "i", "y", each.cast("int").alias("period"))
+    sizes = rows.groupBy(KEY).agg(F.count("*").alias("n"), F.max("i").alias("last_i"))
+    means = moving_means(attach(rows, sizes), size, longest)
     half = F.expr("period div 2")
-
-    trend = F
-    for p in candidates:
-        trend = trend.when(F.col("period") == p, _moving_average(p))
     base = (
-        own_rows(
-            with_halo(rows, back=min(top // 2, size), ahead=reach)
-            .withColumn("trend", trend)
-            .withColumn("left", F.count("*").over(near(0, reach)) - 1)
-        )
+        means.withColumn("period", F.nullif("period", F.lit(0)))
+        .withColumn("left", F.col("n") - 1 - F.col("i"))
         .withColumn("head", F.col("i") < half)
         .withColumn("tail", (F.col("left") < half) & ~F.col("head"))
         .withColumn("phase", F.col("i") % F.col("period"))
@@ -107,8 +158,6 @@ def decompose(panel: DataFrame, period: int | str, candidates: Sequence[int] | N
 
     lines = (
         ends.where((F.col("rows") >= 2 * F.col("period")) & (F.col("known") == F.col("rows")))
-        # without a trend there is no pattern either: a period not listed, or one that a block can't span
-        .where(F.col("period").isin(candidates) & ((F.col("rows") <= size) | (F.expr("period div 2") + F.col("period") < size)))
         .withColumn("f_k", slope("f"))
         .withColumn("b_k", slope("b"))
         .withColumn("f_c", F.try_divide(F.col("f_t") - F.col("f_k") * F.col("f_x"), F.col("f_n")))

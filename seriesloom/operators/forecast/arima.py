@@ -17,13 +17,14 @@ from seriesloom.functions.mathx import solve_normal
 from seriesloom.panel import KEY, attach
 from seriesloom.session import block_rows
 
-LEAST_REACH = 1_024
 LIMIT = 0.95
 MIN_ROWS = 8
 SEGMENT = 4_096
+# the seasonal coefficients are settled if a round moves none of them by more
+SETTLED, ROUNDS = 1e-10, 1_000
 SCHEMA = (
     f"{KEY} string, status string, error string, season int, phi double, theta double, "
-    "seasonal_phi double, seasonal_theta double, y_tail array<double>, w_tail array<double>, e_tail array<double>"
+    "seasonal_phi double, seasonal_theta double, long_lags array<int>, y_tail array<double>, w_tail array<double>, e_tail array<double>"
 )
 
 
@@ -49,41 +50,68 @@ def _differenced(y: np.ndarray, s: int) -> np.ndarray:
     return w[s:] - w[:-s] if s else w
 
 
-def _span(s: int) -> int:
-    """Rows before a position that the products of a seasonal model can reach."""
-    return 4 * s + 2
+def _span(n: int, s: int) -> int:
+    """Rows before a position that the products of a model reach."""
+    return _plan(n, s)[2][-1] + s + 1
+
+
+def _offsets(need: list[int], s: int) -> np.ndarray:
+    """Distances between a position and the values that its lagged differences are made of."""
+    parts = (0, 1, s, s + 1) if s else (0, 1)
+    return np.unique([a + b for a in need for b in parts])
+
+
+def _ranges(n: int, s: int, size: int) -> list[tuple[int, int]]:
+    """The distances as ranges; those of a long season are a few short ones, far apart."""
+    found: list[list[int]] = []
+    for x in _offsets(_plan(n, s)[2], s).tolist():
+        # a gap of less than a block is cheaper to copy along
+        if found and x - found[-1][1] <= size:
+            found[-1][1] = x
+        else:
+            found.append([x, x])
+    return [(a, b) for a, b in found]
 
 
 def lag_sums(train: DataFrame, seasonal: bool) -> DataFrame:
-    """Cross products of the lagged differences per series, followed by the last values."""
+    """Per series, vec: cross products of the lagged differences, and tail: the last values.
+
+    A lag may be longer than a block: a block gets copies of the rows at those distances that its own need.
+    """
     rows = train.select(KEY, "i", "y", "n_train", F.col("season") if seasonal else F.lit(0).alias("season"))
     size = block_rows(train.sparkSession)
-    longest = rows.agg(F.max("season")).first()[0] or 0
-    reach = min(max(LEAST_REACH, _span(longest)), size)
 
     def kernel(pdf, own):
         n, s = int(pdf["n_train"].iloc[0]), int(pdf["season"].iloc[0])
         _, _, need, _ = _plan(n, s)
-        span = need[-1] + s + 1
-        if span > reach and n > size:
-            # the products of this series reach past the halo; it becomes a failed row
-            return np.full(len(need) ** 2 + span + 1, np.nan)
-        y, first = pdf["y"].to_numpy(), int(np.argmax(own))
-        part = y[max(0, first - span) :]
-        d = len(need)
-        gram = np.zeros(d * d)
-        if part.size > span:
-            w = _differenced(part, s)
-            top = need[-1]
-            x = np.column_stack([w[top - k : w.size - k] for k in need])
-            gram = (x.T @ x).ravel()
-        tail = np.zeros(span + 1)
-        if pdf["i"].iloc[-1] == n - 1:
-            have = y[-(span + 1) :]
-            tail[-have.size :] = have
-        return np.concatenate([gram, tail])
-
-    return block_vectors(rows, kernel, back=reach, keep=["n_train", "season"])
+        y, at, d = pdf["y"].to_numpy(float), pdf["i"].to_numpy(), len(need)
+        here = at[own]
+        here = here[here >= _span(n, s)]
+        if not here.size:
+            return np.zeros(d * d)
+        value = {int(k): y[np.searchsorted(at, here - k)] for k in _offsets(need, s)}
+        x = np.column_stack([
+            value[k] - value[k + 1] - (value[k + s] - value[k + s + 1]) if s else value[k] - value[k + 1] for k in need
+        ])
+        return (x.T @ x).ravel()
+
+    shapes = rows.groupBy(KEY).agg(F.first("n_train").alias("n"), F.first("season").alias("s"))
+
+    def plans(batches):
+        for batch in batches:
+            ranges = [_ranges(int(n), int(s), size) for n, s in zip(batch["n"], batch["s"])]
+            spans = [_span(int(n), int(s)) for n, s in zip(batch["n"], batch["s"])]
+            found = [[{"lo": a, "hi": b} for a, b in r] for r in ranges]
+            yield pd.DataFrame({KEY: batch[KEY], "ranges": found, "span": spans, "last_i": batch["n"] - 1})
+
+    planned = shapes.mapInPandas(plans, f"{KEY} string, ranges array<struct<lo:long,hi:long>>, span long, last_i long")
+    reaching = attach(rows, planned)
+    sums = block_vectors(reaching.drop("span"), kernel, back=F.col("ranges"), keep=["n_train", "season"])
+    # as long as the state of the model, about four seasons
+    tails = reaching.where(F.col("i") >= F.col("n_train") - F.col("span") - 1).groupBy(KEY).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda x: x["y"]).alias("tail")
+    )
+    return sums.join(tails, KEY)
 
 
 def _clip(v: float) -> float:
@@ -97,7 +125,8 @@ def _coefficients(g: np.ndarray, s: int):
         phi, theta = solve_normal(a, b)
         return _clip(phi), _clip(theta), 0.0, 0.0
     phi = theta = sphi = stheta = 0.0
-    for _ in range(60):
+    for _ in range(ROUNDS):
+        before = (phi, theta, sphi, stheta)
         for name in ("phi", "sphi", "theta", "stheta"):
             # the coefficient vector is linear in each parameter while the others are held
             p = {"phi": phi, "sphi": sphi, "theta": theta, "stheta": stheta}
@@ -107,6 +136,8 @@ def _coefficients(g: np.ndarray, s: int):
             best = _clip(step @ (b - a @ base) / max(step @ a @ step, 1e-300))
             phi, sphi = (best, sphi) if name == "phi" else (phi, best if name == "sphi" else sphi)
             theta, stheta = (best, stheta) if name == "theta" else (theta, best if name == "stheta" else stheta)
+        if max(abs(x - z) for x, z in zip(before, (phi, theta, sphi, stheta))) < SETTLED:
+            break
     return phi, theta, sphi, stheta
 
 
@@ -122,9 +153,8 @@ def fit(train: DataFrame, seasonal: bool = False) -> DataFrame:
         if usable < MIN_ROWS or (seasonal and s < 2):
             return {**out, "error": "too few observations for the model"}
         d = len(need)
-        vec = np.asarray(row["vec"], float)
-        gram, tail = vec[: d * d].reshape(d, d), vec[d * d :]
-        if not np.isfinite(vec).all():
+        gram, tail = np.asarray(row["vec"], float).reshape(d, d), np.asarray(row["tail"], float)
+        if not (np.isfinite(gram).all() and np.isfinite(tail).all()):
             return {**out, "error": "series has missing values"}
         at = {k: j for j, k in enumerate(need)}
         own = [at[k] for k in long]
@@ -148,6 +178,8 @@ def fit(train: DataFrame, seasonal: bool = False) -> DataFrame:
             "theta": theta,
             "seasonal_phi": sphi,
             "seasonal_theta": stheta,
+            # lags of the autoregression behind the innovations, fewer for short series
+            "long_lags": long,
             "y_tail": tail[-keep:].tolist(),
             "w_tail": w[-keep:].tolist(),
             "e_tail": e.tolist(),

@@ -10,6 +10,7 @@ the whole series, whatever the block size and the length of the season.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -64,9 +65,15 @@ def _least(m: int) -> int:
 TOO_SHORT, MISSING = "fewer rows than two seasons", "series has missing values"
 
 
-def fit(train: DataFrame, seasonal: bool = True, value: str = "y") -> DataFrame:
-    """Best grid point and final state per series; positions i run from 0 without gaps."""
-    size, rates = block_rows(train.sparkSession), grid(seasonal)
+def fit(
+    train: DataFrame, seasonal: bool = True, value: str = "y", rates: Sequence[Sequence[float]] | None = None, size: int | None = None
+) -> DataFrame:
+    """Best grid point and final state per series; positions i run from 0 without gaps.
+
+    rates lists sets (alpha, beta, gamma) to choose from in place of the grid, size the rows of a block.
+    """
+    size = size or block_rows(train.sparkSession)
+    rates = grid(seasonal) if rates is None else np.array(rates, float)
     rows = train.select(KEY, "i", F.col(value).alias("y"), F.col("season") if seasonal else F.lit(1).alias("season"), *_length(train))
     if "n" not in rows.columns:
         rows = attach(rows, rows.groupBy(KEY).agg(F.count("*").alias("n"), F.max("i").alias("last_i")))
@@ -108,7 +115,7 @@ def _fit_long(rows: DataFrame, size: int, rates: np.ndarray) -> DataFrame:
         out = {KEY: left[KEY].iloc[0], "season": m, "sse": smoother.sse.tolist(), "ends": smoother.states().ravel().tolist() if last else None}
         return _frame([out], names)
 
-    blocks = with_block(usable)
+    blocks = with_block(usable, size)
     schema = f"{KEY} string, season int, sse array<double>, ends array<double>"
     run = blocks.groupBy(KEY, "blk").cogroup(starts.groupBy(KEY, "blk")).applyInPandas(errors, schema)
     summed = run.groupBy(KEY, "season").agg(sum_vectors("sse").alias("sse"), F.max_by("ends", F.col("ends").isNotNull()).alias("ends"))
@@ -155,7 +162,7 @@ def block_starts(rows: DataFrame, size: int, rates: np.ndarray | None = None) ->
         out = {KEY: pdf[KEY].iloc[0], "season": m, "rate": np.arange(count), "blk": i // size, "state": list(smoother.states())}
         return pd.DataFrame({**out, "own": [used[0].tolist() if rates is None else None] * count})
 
-    inner = with_block(rows).where((F.col("blk") + 1) * size < F.col("n"))
+    inner = with_block(rows, size).where((F.col("blk") + 1) * size < F.col("n"))
     offsets = inner.groupBy(KEY, "blk").applyInPandas(from_zero, f"{STARTS}, own array<double>")
 
     wanted = F.when(F.col("season") > 1, 2 * F.col("season")).otherwise(FIRST_ROWS)

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 from seriesloom.functions.blocks import block_vectors, rows_to_pandas
 from seriesloom.functions.mathx import KPSS_POINTS, dickey_fuller_p, solve_normal
 from seriesloom.panel import KEY, attach, with_running_sum
-from seriesloom.session import block_rows, written
-
-# Longest lag order a halo serves; the lag rule reaches it near 1e12 rows per series.
-LAG_REACH = 4_096
-
+from seriesloom.session import written
 
 def _lag_order(n: int, max_lag: int | None) -> int:
     rule = int(np.ceil(12.0 * (n / 100.0) ** 0.25))
@@ -40,12 +36,12 @@ def adf_sums(panel: DataFrame, max_lag: int | None = None) -> DataFrame:
     )
     z = F.try_divide(F.col("y") - F.col("mean"), F.col("sd"))
     rows = attach(panel, stats).where((F.col("n") >= 4) & (F.col("sd") > 0)).select(KEY, "i", "n", z.alias("z"))
-    reach = min(block_rows(panel.sparkSession), LAG_REACH)
+    # each series looks back as far as its own lag order needs; one row to spare against rounding of the rule
+    rule = F.ceil(12.0 * F.pow(F.col("n") / 100.0, F.lit(0.25))) if max_lag is None else F.lit(max_lag)
+    ranges = F.array(F.struct(F.lit(0).cast("long").alias("lo"), (rule.cast("long") + 2).alias("hi")))
 
     def kernel(pdf, own):
         lags = _lag_order(int(pdf["n"].iloc[0]), max_lag)
-        if lags + 1 > reach:
-            raise ValueError(f"lag order {lags} exceeds the halo of {reach} rows")
         values, first = pdf["z"].to_numpy(), int(np.argmax(own))
         start = max(0, first - lags - 1)
         part = values[start:]
@@ -57,7 +53,7 @@ def adf_sums(panel: DataFrame, max_lag: int | None = None) -> DataFrame:
         opening = values[: lags + 1] if pdf["i"].iloc[0] == 0 and first == 0 else np.zeros(lags + 1)
         return np.concatenate([gram, opening, np.zeros(lags + 1 - opening.size)])
 
-    return block_vectors(rows, kernel, back=reach, keep=["n"])
+    return block_vectors(rows, kernel, back=ranges, keep=["n"])
 
 
 def adf(panel: DataFrame, max_lag: int | None = None) -> DataFrame:

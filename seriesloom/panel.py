@@ -55,8 +55,8 @@ def index_rows(df: DataFrame) -> DataFrame:
     )
 
 
-def with_block(df: DataFrame) -> DataFrame:
-    return df.withColumn("blk", F.expr(f"i div {block_rows(df.sparkSession)}"))
+def with_block(df: DataFrame, size: int | None = None) -> DataFrame:
+    return df.withColumn("blk", F.expr(f"i div {size or block_rows(df.sparkSession)}"))
 
 
 def with_halo(df: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
@@ -66,7 +66,7 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
     """
     size = block_rows(df.sparkSession)
     if max(back, ahead) > size:
-        raise ValueError(f"reach {max(back, ahead)} exceeds the block of {size} rows")
+        return with_reach(df, F.array(F.struct(F.lit(-ahead).alias("lo"), F.lit(back).alias("hi"))))
     blk = F.expr(f"i div {size}")
     pos = F.col("i") % size
     homes = [blk]
@@ -77,6 +77,18 @@ def with_halo(df: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
     return df.withColumn("w", F.explode(F.array_compact(F.array(*homes))))
 
 
+def with_reach(df: DataFrame, ranges: Column) -> DataFrame:
+    """Give each block copies of the rows that its own rows look back on, however far back that is.
+
+    ``ranges`` is an array of structs (lo, hi), which may differ per series: a row at position i looks at i - hi to
+    i - lo; a negative number looks ahead. A narrow range far back costs one copy per row, not a halo that long.
+    """
+    size = block_rows(df.sparkSession)
+    block = lambda distance: F.floor((F.col("i") + distance) / size).cast("long")
+    homes = F.flatten(F.transform(ranges, lambda r: F.sequence(block(r["lo"]), block(r["hi"]))))
+    return df.withColumn("w", F.explode(F.array_distinct(F.filter(homes, lambda b: b >= 0))))
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     """Drop the halo copies again."""
     return df.where(F.expr(f"w = i div {block_rows(df.sparkSession)}")).drop("w")

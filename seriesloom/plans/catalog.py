@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators import autocorr, decompose, evidence, meta, prep, profile, quality, recommend, stationarity
-from seriesloom.operators.forecast import arima, boosted, naive
+from seriesloom.operators.forecast import arima, boosted, ets, naive
 from seriesloom.operators.forecast.split import metrics, metrics_frame, rank_models, split, holdout_rows, train_rows
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.operators.tasks import anomalies, classify, cluster, sequences
@@ -607,6 +607,15 @@ for _name, _model in zip(
     CATALOG[f"forecast_{_name}"] = _single(_model)
 
 
+@query
+def forecast_smoothing_fixed(spark, sf):
+    """Smoothing with one set of rates, composed from blocks of 20 months."""
+    parts = split(monthly(spark, sf), 0.8)
+    params = ets.fit(train_rows(parts), rates=[(0.3, 0.1, 0.2)], size=20)
+    made = ets.predict(params, holdout_rows(parts)).join(params.select(KEY, "sse"), KEY)
+    return tidy(made.select(KEY, "ts", "h", "yhat", F.sqrt("sse").alias("root_sse")), 3)
+
+
 @query
 def benchmark_fast(spark, sf):
     return tidy(compare(_bench(spark, sf), FAST).scores, 4)
@@ -664,22 +673,23 @@ def next_30(spark, sf):
 
 def _learned(spark, sf):
     """Features and training rows of the classifier, written once per session and scale."""
-    features = shared(spark, sf, "learned_features", lambda: _brands(spark, sf)[0])
-    return features, shared(spark, sf, "learned_rows", lambda: _brand_rows(spark, sf))
+    features = shared(spark, sf, "learned_features", lambda: _training_series(spark, sf)[0])
+    return features, shared(spark, sf, "learned_rows", lambda: _training_rows(spark, sf))
 
 
-def _brands(spark, sf):
-    """Monthly sales per brand with their profile: the classifier's training series."""
-    lines = table(spark, sf, "lineitem").join(
-        table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey"
-    )
-    panel = written(build_panel(lines, "p_brand", "l_shipdate", "l_quantity", "month"), "brands")
+def _training_series(spark, sf):
+    """Monthly sales per brand, supplier and part type with their profile: the classifier's training series."""
+    parts = table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    lines = table(spark, sf, "lineitem").join(parts, "l_partkey")
+    kinds = {"brand": F.col("p_brand"), "supplier": F.col("l_suppkey").cast("string"), "type": F.col("p_type")}
+    named = F.explode(F.array(*[F.concat(F.lit(f"{kind} "), name) for kind, name in kinds.items()])).alias("name")
+    panel = written(build_panel(lines.select("l_shipdate", "l_quantity", named), "name", "l_shipdate", "l_quantity", "month"), "training")
     frequencies = written(quality.detect_frequency(panel), "frequencies")
     return profile.profile(panel, frequencies), panel
 
 
-def _brand_rows(spark, sf):
-    features, panel = _brands(spark, sf)
+def _training_rows(spark, sf):
+    features, panel = _training_series(spark, sf)
     features = written(features, "features")
     return meta.training_set(features, compare(Bench(panel, 0.8, features), ALL).scores)
 
@@ -701,6 +711,12 @@ def meta_top_three(spark, sf):
     return tidy(meta.predict_top_k(meta.train(training), features, 3), 5)
 
 
+@query
+def meta_accuracy(spark, sf):
+    """Share of right labels on held-out and on learned series, beside that of the most frequent label."""
+    return tidy(meta.accuracy(written(meta.held_out(_learned(spark, sf)[1]), "held-out")), 4)
+
+
 @query
 def meta_importances(spark, sf):
     _, training = _learned(spark, sf)

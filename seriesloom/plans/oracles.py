@@ -710,6 +710,21 @@ deep AS (SELECT series_id, max(n_train) AS n, CASE
   WHEN max(n_train) - 13 - 13 - 12 >= 18 THEN 25 ELSE 14 END AS depth FROM w GROUP BY 1)""",
     f"SELECT w.series_id, {r('sqrt(sum(w * w))', 3, 'root_sum')} FROM w JOIN deep USING (series_id) WHERE i >= 13 + depth GROUP BY 1",
 )
+SQL["forecast_smoothing_fixed"] = sql(
+    f"""{MONTHLY}, sized AS (SELECT *, CAST(floor(count(*) OVER {ALL_} * 0.8) AS BIGINT) AS n_train FROM panel),
+firsts AS (SELECT series_id, avg(y) FILTER (WHERE i < 12) AS m1, avg(y) FILTER (WHERE i BETWEEN 12 AND 23) AS m2,
+  list(y ORDER BY i) FILTER (WHERE i < 12) AS head FROM sized GROUP BY 1),
+begins AS (SELECT series_id, head, (m2 - m1) / 12 AS slope, m1 - (m2 - m1) / 12 * 6.5 AS level FROM firsts),
+states AS (SELECT series_id, 0::BIGINT AS i, level, slope, list_transform(range(1, 13), lambda k: head[k] - (level + slope * k)) AS season,
+    0::DOUBLE AS sse FROM begins
+  UNION ALL
+  SELECT series_id, i + 1, level + slope + 0.3 * e, slope + 0.03 * e,
+    list_transform(range(1, 13), lambda k: season[k] + CASE WHEN k = i % 12 + 1 THEN 0.2 * e ELSE 0 END), sse + e * e
+  FROM (SELECT s.*, x.y - s.level - s.slope - s.season[s.i % 12 + 1] AS e FROM states s JOIN sized x USING (series_id, i) WHERE s.i < x.n_train))""",
+    f"""SELECT x.series_id, x.ts, x.i - x.n_train + 1 AS h, {r('s.level + (x.i - x.n_train + 1) * s.slope + s.season[x.i % 12 + 1]', 3, 'yhat')},
+  {r('sqrt(s.sse)', 3, 'root_sse')} FROM states s JOIN sized x ON x.series_id = s.series_id AND s.i = x.n_train AND x.i >= x.n_train""",
+    True,
+)
 SQL["benchmark_failed"] = sql(
     f"{MONTHLY}, sized AS (SELECT series_id, floor(count(*) * 0.8) AS n_train FROM panel GROUP BY 1)",
     """SELECT series_id, 'Exponential Smoothing' AS model, 'failed' AS status, 'fewer rows than two seasons' AS error FROM sized WHERE n_train < 104

@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 
 from seriesloom.functions.smoothing import Carrier, Smoother, first_state
+from seriesloom.operators.decompose import decompose
 from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive
 from seriesloom.operators.forecast.split import metrics, rank_models, split, holdout_rows, train_rows
+from seriesloom.operators.stationarity import adf
 from seriesloom.plans.benchmark import ALL, Bench, compare, forecast_frame
 from seriesloom.sources import models
 from tests.conftest import values_of
@@ -124,6 +126,27 @@ def test_long_series_without_a_fit(panel_of, spark, blocks):
     assert {r.series_id: r.error for r in ets.fit(train).collect()} == {"gap": ets.MISSING, "few": ets.TOO_SHORT, "good": None}
 
 
+@pytest.mark.parametrize("season", [30, 700])
+def test_lags_longer_than_blocks(panel_of, spark, blocks, season):
+    """Seasons below and beyond the block give the same model and the same decomposition at every block size."""
+    rng = np.random.default_rng(4)
+    t = np.arange(3600)
+    y = 50 + 6 * np.sin(2 * np.pi * t / season) + np.cumsum(rng.normal(0, 0.2, t.size))
+    parts = split(panel_of({"a": y, "b": y[:3300] ** 1.2}), 0.9, seasons(spark, a=season, b=season))
+    found = []
+    for size in (100, 1000, 65_536):
+        blocks(size)
+        params = arima.fit(train_rows(parts), seasonal=True).orderBy("series_id").collect()
+        assert [r.status for r in params] == ["success"] * 2 and params[0].long_lags == [1, 2, 3, season, season + 1, 2 * season]
+        made = decompose(parts, "season").orderBy("series_id", "i").select("trend", "seasonal", "resid").toPandas()
+        assert not made.isna().any().any()
+        tau = [r.adf_statistic for r in adf(parts.select("series_id", "ts", "i", "y")).orderBy("series_id").collect()]
+        found.append(([[r.phi, r.theta, r.seasonal_phi, r.seasonal_theta, *r.e_tail, *r.w_tail] for r in params], made.to_numpy(), tau))
+    for other in found[:2]:
+        for x, z in zip(other, found[2]):
+            np.testing.assert_allclose(x, z, rtol=1e-6, atol=1e-7)
+
+
 def test_carried_states_equal_zero_rows():
     rng = np.random.default_rng(1)
     for m, n, i in ((1, 50, 3), (2, 7, 1), (7, 49, 5), (7, 5, 2), (12, 12, 0), (365, 1000, 17), (1000, 900, 77)):
@@ -228,10 +251,11 @@ def test_sarima_with_long_seasons_never_raises(panel_of, spark, blocks):
     y = np.sin(2 * np.pi * t / 300) + 0.01 * t
     params = {r.series_id: r for r in arima.fit(train_rows(split(panel_of({"a": y, "b": y}), 0.98, seasons(spark, a=300, b=12))), seasonal=True).collect()}
     assert params["a"].status == params["b"].status == "success"
-    # longer than a block and out of reach: a failed row, the other series is fitted
+    # lags longer than a block change nothing
     blocks(400)
-    params = {r.series_id: r for r in arima.fit(train_rows(split(panel_of({"a": y, "b": y}), 0.98, seasons(spark, a=300, b=12))), seasonal=True).collect()}
-    assert params["a"].status == "failed" and params["a"].error and params["b"].status == "success"
+    again = {r.series_id: r for r in arima.fit(train_rows(split(panel_of({"a": y, "b": y}), 0.98, seasons(spark, a=300, b=12))), seasonal=True).collect()}
+    for name in "ab":
+        assert again[name].status == "success" and again[name].phi == pytest.approx(params[name].phi, abs=1e-6)
 
 
 def test_forecast_frame_with_equal_times(spark):
