@@ -23,7 +23,7 @@ def sha(data):
     return hashlib.sha256(data).hexdigest()
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_quality_rules", "op10_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op3_quality_rules", "op10_line_dedup", "op11_hard_negatives", "op12_collocations", "op13_decontaminate"])
 def test_against_sql(spark, name):
     mine = entry.queries()[name](spark, SF).toPandas()
     assert difference(mine, connect(SF).execute(entry.oracle_sql()[name]).df()) is None
@@ -31,7 +31,7 @@ def test_against_sql(spark, name):
 
 def test_all_operators_are_registered():
     numbers = [m[1] for q in entry.queries() if (m := re.match(r"op(\d+)_", q))]
-    assert sorted(map(int, numbers)) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(map(int, numbers)) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("weak", [False, True])
