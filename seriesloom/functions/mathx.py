@@ -92,13 +92,48 @@ def solve_normal(xtx: np.ndarray, xty: np.ndarray, ridge: np.ndarray | float = 0
 
 def dtw(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dynamic-time-warping distance of paired rows of a and b (same number of rows)."""
-    rows, n, m = a.shape[0], a.shape[1], b.shape[1]
-    before = np.full((m + 1, rows), np.inf)
-    before[0] = 0.0
-    for i in range(n):
-        now = np.full((m + 1, rows), np.inf)
-        for j in range(m):
-            best = np.minimum(np.minimum(before[j + 1], now[j]), before[j])
-            now[j + 1] = best + (a[:, i] - b[:, j]) ** 2
-        before = now
-    return np.sqrt(before[m])
+    return np.sqrt(warped_cost(a, b))
+
+
+def warped_cost(a: np.ndarray, low: np.ndarray, high: np.ndarray | None = None, most: np.ndarray | None = None) -> np.ndarray:
+    """Least warped path cost of the rows of a to paired rows of boxes [low, high]; without ``high`` boxes are points.
+
+    A step costs the squared gap between value and box, so the cost of a series to the boxes around runs of another
+    series' values never exceeds the cost to that series itself: a path meets every box it crosses at least once for each
+    value. Rows that can't end at ``most`` or below are abandoned and come out infinite. The table is filled by
+    antidiagonals, of which two are held; of any two neighbouring ones every path meets at least one.
+    """
+    rows, n, m = a.shape[0], a.shape[1], low.shape[1]
+    out = np.full(rows, np.inf)
+    live = np.arange(rows)
+    a, low = np.ascontiguousarray(a.T), np.ascontiguousarray(low.T)
+    high = None if high is None else np.ascontiguousarray(high.T)
+    # entry i of a diagonal d stands for values 0..i-1 against boxes 0..d-i-1
+    older, old, now = (np.full((n + 1, rows), np.inf) for _ in range(3))
+    older[0] = 0.0
+    for d in range(2, n + m + 1):
+        first, last = max(1, d - m), min(n, d - 1)
+        x, at = a[first - 1 : last], slice(d - last - 1, d - first)
+        y = low[at][::-1]
+        gap = x - y
+        if high is not None:
+            np.maximum(np.negative(gap, out=gap), x - high[at][::-1], out=gap)
+            np.maximum(gap, 0.0, out=gap)
+        gap *= gap
+        best = np.minimum(old[first - 1 : last], old[first : last + 1])
+        np.minimum(best, older[first - 1 : last], out=best)
+        np.add(best, gap, out=now[first : last + 1])
+        now[first - 1] = np.inf
+        now[last + 1 : last + 2] = np.inf
+        older, old, now = old, now, older
+        if most is not None and d % 8 == 0:
+            lo, hi = max(0, first - 2), last + 1
+            keep = np.minimum(older[lo:hi].min(axis=0), old[lo:hi].min(axis=0)) <= most
+            if keep.sum() < 0.8 * len(keep):
+                live, most = live[keep], most[keep]
+                if not len(live):
+                    return out
+                a, low, older, old, now = (np.ascontiguousarray(v[:, keep]) for v in (a, low, older, old, now))
+                high = None if high is None else np.ascontiguousarray(high[:, keep])
+    out[live] = old[n] if most is None else np.where(old[n] <= most, old[n], np.inf)
+    return out
