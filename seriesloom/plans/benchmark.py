@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive
+from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive, slots
 from seriesloom.operators.forecast.split import metrics, rank_models, split, holdout_rows, train_rows
 from seriesloom.panel import KEY
 from seriesloom.session import written
@@ -33,18 +33,21 @@ class Run:
     name: str
     forecasts: DataFrame
     status: DataFrame
-    params: dict[str, DataFrame] = field(default_factory=dict)
+    params: dict[str, DataFrame | slots.TreeModel] = field(default_factory=dict)
 
 
 class Bench:
-    """One split shared by all models; parameters are written once and reused by the hybrids."""
+    """One split shared by all models; parameters are written once and reused by the hybrids.
+
+    ``lags`` of the trees: one list for all series, or rows (series_id, recommended_lags) with lags per series.
+    """
 
     def __init__(
         self,
         panel: DataFrame,
         ratio: float = 0.8,
         seasons: DataFrame | None = None,
-        lags: Sequence[int] = boosted.DEFAULT_LAGS,
+        lags: Sequence[int] | DataFrame = boosted.DEFAULT_LAGS,
         rounds: int = boosted.ROUNDS,
     ):
         self.ratio, self.lags, self.rounds = ratio, lags, rounds
@@ -68,6 +71,10 @@ class Bench:
     def run(self, name: str) -> Run:
         y = self.future.select(KEY, "i", "y")
         every = self.parts.select(KEY).distinct()
+        if name == "XGBoost" and isinstance(self.lags, DataFrame):
+            model, rows = slots.fit(self.parts, self.lags, self.ratio, self.rounds)
+            status = model.params.select(KEY, F.lit(name).alias("model"), "status", "error")
+            return Run(name, self._named(rows, name), status, {name: model})
         if name == "XGBoost":
             rows, _ = boosted.fit_predict(self.parts, self.lags, self.ratio, self.rounds)
             return Run(name, self._named(rows, name), self._status(every, rows, name, "too few rows for the lags"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seriesloom.operators import autocorr, decompose, evidence, meta, prep, profile, quality, recommend, stationarity
-from seriesloom.operators.forecast import arima, boosted, ets, naive
+from seriesloom.operators.forecast import arima, boosted, ets, naive, slots
 from seriesloom.operators.forecast.split import metrics, metrics_frame, rank_models, split, holdout_rows, train_rows
 from seriesloom.operators.quantiles import quantiles
 from seriesloom.operators.tasks import anomalies, classify, cluster, sequences
@@ -586,6 +586,17 @@ def lag_frame(spark, sf):
     return tidy(rows.select(KEY, "ts", "y", *[f"lag_{k}" for k in boosted.DEFAULT_LAGS], "is_train"), 5)
 
 
+def _own_lags(spark, sf):
+    return shared(spark, sf, "own_lags", lambda: autocorr.lag_features(autocorr.correlogram(stored(spark, sf, mixed))))
+
+
+@query
+def lag_slots(spark, sf):
+    """Slots filled from each series' own recommended lags."""
+    rows = slots.slot_frame(split(stored(spark, sf, mixed), 0.8), _own_lags(spark, sf))
+    return tidy(rows.select(KEY, "ts", "y", *slots.NAMES, "is_train"), 4)
+
+
 def _bench(spark, sf):
     panel = stored(spark, sf, mixed)
     features = profile.seasonality_features(panel, frequencies_of(spark, sf, mixed))
@@ -661,6 +672,27 @@ def saved_model_score(spark, sf):
     return tidy(models.score_saved(loaded, "exponential_smoothing", new, ends), 3)
 
 
+@query
+def forecast_own_lags(spark, sf):
+    """Boosted trees on each series' own lags, one step ahead."""
+    run = Bench(stored(spark, sf, mixed), 0.8, lags=_own_lags(spark, sf)).run("XGBoost")
+    return tidy(run.forecasts.select(KEY, "model", "ts", "h", "y", "yhat"), 3)
+
+
+@query
+def saved_trees_score(spark, sf):
+    """Save boosted trees, load them, and run them ahead over the rows after training."""
+    import uuid
+
+    bench = Bench(stored(spark, sf, mixed), 0.8, lags=_own_lags(spark, sf))
+    root = f"{workspace(spark)}/models-{uuid.uuid4().hex}"
+    models.save_model(bench.run("XGBoost").params["XGBoost"], root, "XGBoost")
+    loaded = models.load_model(spark, root, "xgboost")
+    ends = written(loaded.params.where("status = 'success'").select(KEY, "n_train"), "ends")
+    future = attach(bench.parts.select(KEY, "ts", "i", "y"), ends).where("i >= n_train")
+    return tidy(models.score_saved(loaded, "xgboost", future.select(KEY, "ts", (F.col("i") - F.col("n_train")).alias("i"), "y"), ends), 3)
+
+
 @query
 def next_30(spark, sf):
     """Thirty periods beyond the end of every series."""

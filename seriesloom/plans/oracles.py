@@ -737,6 +737,18 @@ SQL["lag_frame"] = sql(
     f"SELECT series_id, ts, {r('y', 5, 'y')}, " + ", ".join(r(f"lag_{k}", 5, f"lag_{k}") for k in (1, 2, 3, 7, 14))
     + ", i - 14 < floor((n - 14) * 0.8) AS is_train FROM lagged WHERE i >= 14",
 )
+_SLOT_COLS = ", ".join(f"max(v) FILTER (WHERE k = {k}) AS slot_{k}" for k in range(1, 6))
+SQL["lag_slots"] = sql(
+    f"{MIXED}, {STATS}, {PACF}, {LAGS}, lagged AS MATERIALIZED (SELECT series_id, rec, list_max(rec) AS top FROM lagf), "
+    f"sized AS MATERIALIZED (SELECT *, count(*) OVER {ALL_} AS n FROM panel), "
+    "wanted AS MATERIALIZED (SELECT series_id, i, k, i - coalesce(rec[k], rec[len(rec)]) AS j "
+    "FROM sized JOIN lagged USING (series_id), generate_series(1, 5) g(k)), "
+    "found AS MATERIALIZED (SELECT w.series_id, w.i, w.k, s.y AS v FROM wanted w JOIN sized s ON s.series_id = w.series_id AND s.i = w.j), "
+    f"slotted AS MATERIALIZED (SELECT series_id, i, {_SLOT_COLS} FROM found GROUP BY 1, 2 HAVING count(*) = 5)",
+    f"SELECT series_id, ts, {r('y', 4, 'y')}, " + ", ".join(r(f"slot_{k}", 4, f"slot_{k}") for k in range(1, 6))
+    + ", i - top < floor((n - top) * 0.8) AS is_train FROM slotted JOIN sized USING (series_id, i) JOIN lagged USING (series_id)",
+    recursive=True,
+)
 
 _D7 = f"{DAILY}, {decomposed('d7', 'panel', 7)}"
 SQL["anomalies_residual"] = sql(

@@ -3,7 +3,7 @@ import pytest
 
 from seriesloom.functions.smoothing import Carrier, Smoother, first_state
 from seriesloom.operators.decompose import decompose
-from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive
+from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive, slots
 from seriesloom.operators.forecast.split import metrics, rank_models, split, holdout_rows, train_rows
 from seriesloom.operators.stationarity import adf
 from seriesloom.plans.benchmark import ALL, Bench, compare, forecast_frame
@@ -186,6 +186,66 @@ def test_lag_frame_and_boosting(panel_of, spark):
     assert sorted(names) == ["lag_1", "lag_2", "lag_3"]
 
 
+def lags_of(spark, **chosen):
+    return spark.createDataFrame(list(chosen.items()), "series_id string, recommended_lags array<int>")
+
+
+@pytest.mark.parametrize("size", [7, 1000])
+def test_lag_slots(panel_of, spark, blocks, size):
+    """Lags per series, also longer than a block; the last lag fills empty slots, no lags mean lag 1."""
+    blocks(size)
+    y = [float(v) for v in np.random.default_rng(3).normal(size=40)]
+    holed = [*y[:10], None, *y[11:]]
+    parts = split(panel_of({"a": y, "b": holed, "c": y, "d": y[:5]}), 0.8)
+    got = slots.slot_frame(parts, lags_of(spark, a=[2, 20], b=[3, 1], d=[9]), 0.8).toPandas().sort_values(["series_id", "i"])
+    for name, values, lags in (("a", y, [2, 20, 20, 20, 20]), ("b", holed, [3, 1, 1, 1, 1]), ("c", y, [1] * 5)):
+        want = [(i, values[i], *[values[i - k] for k in lags]) for i in range(max(lags), 40)]
+        want = [row for row in want if None not in row]
+        mine = got[got.series_id == name]
+        assert [tuple(r) for r in mine[["i", "y", *slots.NAMES]].itertuples(index=False)] == want
+        top = max(lags)
+        assert list(mine.is_train) == [i - top < int((40 - top) * 0.8) for i in mine.i]
+    assert "d" not in set(got.series_id)
+
+
+def test_saved_trees_run_ahead(panel_of, spark, tmp_path):
+    """A loaded model repeats the forecasts of Spark's own trees, step by step on their own output."""
+    t = np.arange(120)
+    y = {"a": np.sin(2 * np.pi * t / 10) * 5 + 20, "b": np.cos(2 * np.pi * t / 6) * 900, "short": np.arange(6.0)}
+    y["late"] = np.where(t == 95, np.nan, y["a"])
+    parts = split(panel_of(y), 0.8)
+    lags = lags_of(spark, a=[1, 10], b=[6, 3], short=[8], late=[1, 2])
+    bench = Bench(panel_of(y), 0.8, lags=lags, rounds=6)
+    run = bench.run("XGBoost")
+    failed = {r.series_id: r.error for r in run.status.where("status = 'failed'").collect()}
+    assert failed == {"short": "too few rows for the lags", "late": "missing values at the end of training"}
+    models.save_model(run.params["XGBoost"], str(tmp_path), "XGBoost")
+    loaded = models.load_model(spark, str(tmp_path), "xgboost")
+    with pytest.raises(FileNotFoundError):
+        models.load_model(spark, str(tmp_path / "none"), "XGBoost")
+
+    params = {r.series_id: r for r in loaded.params.where("status = 'success'").collect()}
+    assert {k: p.n_train for k, p in params.items()} == {"a": 10 + 88, "b": 6 + 91}
+    steps = 150
+    future = spark.createDataFrame(
+        [(k, None, int(p.n_train) + h - 1, h) for k, p in params.items() for h in range(1, steps + 1) if k == "a" or h <= 3],
+        "series_id string, ts timestamp_ntz, i long, h long",
+    )
+    made = slots.predict(loaded, future).orderBy("series_id", "h").collect()
+    value = slots._forest(loaded.trees.toPandas())
+    for name, last in (("a", steps), ("b", 3)):
+        p = params[name]
+        past = [(v - p.centre) / p.spread for v in y[name][: p.n_train]]
+        for _ in range(last):
+            past.append(value(np.array([[past[-k] for k in p.lags]]))[0])
+        want = np.array(past[p.n_train :]) * p.spread + p.centre
+        np.testing.assert_allclose([r.yhat for r in made if r.series_id == name], want)
+    # the first step sees the same slots as the one-step forecasts of Spark's model
+    first = {r.series_id: r.yhat for r in run.forecasts.where("h = 1").collect()}
+    for name in "ab":
+        assert [r.yhat for r in made if r.series_id == name and r.h == 1] == pytest.approx([first[name]])
+
+
 def test_metrics_edges(spark):
     rows = [("a", "m", 2.0, 2.0), ("a", "m", 2.0, 2.0), ("b", "m", 2.0, 3.0), ("b", "m", 2.0, 2.0), ("c", "m", 0.0, 1.0), ("c", "m", 4.0, 3.0)]
     out = {r.series_id: r for r in metrics(spark.createDataFrame(rows, "series_id string, model string, y double, yhat double")).collect()}
