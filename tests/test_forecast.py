@@ -324,3 +324,21 @@ def test_forecast_frame_with_equal_times(spark):
     bench = Bench(panel, 0.8, seasons(spark, a=2))
     frame = forecast_frame(bench, bench.run("Seasonal Naive").forecasts)
     assert frame.count() == 8
+
+
+def test_trees_are_the_same_for_any_number_of_shuffle_partitions(spark, panel_of, waves):
+    parts = split(panel_of(waves), 0.8)
+    before, made = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for number in ("2", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", number)
+        rows, _ = boosted.fit_predict(parts, [1, 2, 3], rounds=5)
+        made.append([r.yhat for r in rows.orderBy("series_id", "i").collect()])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == made[1]
+
+
+def test_training_rows_are_dealt_by_their_number(spark, panel_of, waves):
+    rows = panel_of(waves)
+    few, more = boosted.dealt(rows, ["y"]), boosted.dealt(rows, ["y"], 100)
+    assert few.rdd.getNumPartitions() == 1 and more.rdd.getNumPartitions() == 8
+    assert sorted(r.y for r in more.collect()) == sorted(r.y for r in rows.collect())
