@@ -158,3 +158,21 @@ def test_calendar_profile_keeps_absent_slots(panel_of):
     rows = decompose.calendar_profile(panel, freq).where("series_id = 'a'").orderBy("slot").collect()
     # 2020-01-01 is a Wednesday
     assert [r.mean_y for r in rows] == [None, None, 0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def test_blocks_spread_over_tasks_and_batches(spark, blocks):
+    """Small blocks are dealt by number, not by bytes; a block may lie in several batches."""
+    from pyspark import TaskContext
+
+    from seriesloom.functions.blocks import block_vectors
+
+    blocks(10)
+    rows = spark.range(300 * 25).selectExpr("cast(id % 300 as string) as series_id", "id div 300 as i", "cast(id as double) as y")
+    kernel = lambda pdf, own: [pdf["y"].to_numpy()[own].sum(), own.sum(), len(own), 100.0 ** TaskContext.get().partitionId()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.series_id: r.vec for r in block_vectors(rows, kernel, back=2).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 300 and all(v[:3] == [float(sum(range(int(k), 7500, 300))), 25.0, 29.0] for k, v in got.items())
+    assert len({v[3] for v in got.values()}) > 4
