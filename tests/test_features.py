@@ -152,6 +152,16 @@ def test_profile_edges(panel_of, waves):
     assert rows["a"].zero_crossing_rate == pytest.approx(np.sum(np.diff(np.sign(s - s.mean())) != 0) / 400)
 
 
+def test_profile_joins_written_parts(panel_of, waves):
+    """A task that joins the parts runs none of their sorts and aggregations, each of which takes a page of its memory."""
+    panel = panel_of({"a": waves["wave"], "b": waves["walk"]})
+    made = profile.profile(panel, quality.detect_frequency(panel))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 7 and plan.count("Relation [") == 8
+    assert not [x for x in ("Aggregate", "Window", "Generate", "Python", "InPandas", "Repartition", "LogicalRDD") if x in plan]
+    assert [r.series_id for r in made.orderBy("series_id").collect()] == ["a", "b"]
+
+
 def test_calendar_profile_keeps_absent_slots(panel_of):
     panel = panel_of({"a": range(5), "b": range(5)})
     freq = quality.detect_frequency(panel)
