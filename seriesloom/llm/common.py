@@ -78,12 +78,21 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt_from: Column, how: str = "inner", salts: int = 32) -> DataFrame:
-    """Join of many rows with few rows per key; the rows of a hot key go to `salts` tasks."""
+def shuffled(exploded: DataFrame) -> DataFrame:
+    """For one side of a join: Spark sizes rows as they were before an explode and would broadcast many times its threshold."""
+    return exploded.hint("merge")
+
+
+def salted_join(
+    rows: DataFrame, groups: DataFrame, keys: list[str], salt_from: Column, how: str = "inner", salts: int = 32, many: bool = False
+) -> DataFrame:
+    """Join of many rows with few rows per key; the rows of a hot key go to `salts` tasks. many: the groups grow with the rows."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return left.join(shuffled(right) if many else right, [*keys, "_salt"], how).drop("_salt")
 
 
-def salted_left_join(rows: DataFrame, groups: DataFrame, keys: list[str], salt_from: Column, salts: int = 32) -> DataFrame:
-    return salted_join(rows, groups, keys, salt_from, "left", salts)
+def salted_left_join(
+    rows: DataFrame, groups: DataFrame, keys: list[str], salt_from: Column, salts: int = 32, many: bool = False
+) -> DataFrame:
+    return salted_join(rows, groups, keys, salt_from, "left", salts, many)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesloom.llm.common import Scratch, rows_by_key, salted_left_join
+from seriesloom.llm.common import Scratch, rows_by_key, salted_left_join, shuffled
 from seriesloom.llm.components import connected
 from seriesloom.session import ship_package
 
@@ -146,8 +146,8 @@ def pigeonring_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     lookups = nodes.select("fp", "root", F.explode(F.array_compact(F.array(*looked))).alias("key"))
     # a key under which only one component is indexed and looked up can't give a new link
     held = indexed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    wanted = scratch.write(lookups.join(held, "key").where("low <> root OR high <> root").select("fp", "root", "key"), "lookups")
-    pairs = wanted.alias("l").join(indexed.alias("r"), F.expr("l.key = r.key AND l.root <> r.root"))
+    wanted = scratch.write(shuffled(lookups).join(held, "key").where("low <> root OR high <> root").select("fp", "root", "key"), "lookups")
+    pairs = wanted.alias("l").join(shuffled(indexed).alias("r"), F.expr("l.key = r.key AND l.root <> r.root"))
     x = F.col("l.fp").bitwiseXOR(F.col("r.fp"))
     near = pairs.where(_chain(x)).where(_close(F.col("l.fp"), F.col("r.fp")))
     return near.select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b")).distinct()
@@ -175,7 +175,7 @@ def group(docs: DataFrame, width: int = WORDS) -> DataFrame:
     final = final.select("fp", "least", F.coalesce("top", "root").alias("top"))
     smallest = final.groupBy("top").agg(F.min("least").alias("component_id"))
     members = scratch.write(final.join(smallest, "top").select("fp", "component_id", "top"), "members")
-    return salted_left_join(rows, members, ["fp"], F.col("kt")).select("doc_id", "kt", "fp", "component_id", "top")
+    return salted_left_join(rows, members, ["fp"], F.col("kt"), many=True).select("doc_id", "kt", "fp", "component_id", "top")
 
 
 def keep_rows(docs: DataFrame, width: int = WORDS) -> DataFrame:

@@ -213,3 +213,20 @@ def test_runs_merge_by_level(spark):
     want = Counter((i % 10, i % (3 + b)) for b in range(5) for i in range(40))
     assert {(r.k1, r.k2): r.n for r in runs.totals().collect()} == dict(want)
     runs.close()
+
+
+def test_exploded_sides_are_not_broadcast(spark, make_docs, odd_pairs, monkeypatch):
+    """Spark sizes an exploded table by the rows before the explode, so any of them would look small enough here."""
+    plans, write = {}, Scratch.write
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def seen(scratch, df, name):
+        plans[name] = plan_of(df)
+        return write(scratch, df, name)
+
+    monkeypatch.setattr(Scratch, "write", seen)
+    # the joins after the explodes, and none before them that could hide a broadcast
+    plans["group"] = plan_of(simhash.group(make_docs(odd_pairs)))
+    plans["links"] = plan_of(simhash.pigeonring_links(spark.createDataFrame([(1, 1), (3, 3)], "fp long, root long"), Scratch(spark, "t")))
+    for name in ("lookups", "group", "links"):
+        assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
