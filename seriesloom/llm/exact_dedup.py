@@ -63,7 +63,7 @@ def decide(docs: DataFrame, identifier: Callable[[Column], Column] = F.xxhash64)
         )
     order = F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "row")
     groups = recipes.groupBy("recipe", "ranks").agg(F.count("*").alias("group_size"), F.min(order).alias("best")).where("group_size > 1")
-    joined = salted_left_join(recipes, groups, ["recipe", "ranks"], F.col("row"))
+    joined = salted_left_join(recipes, groups, ["recipe", "ranks"], F.col("row"), many=True)
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id",

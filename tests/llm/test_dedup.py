@@ -227,6 +227,7 @@ def test_exploded_sides_are_not_broadcast(spark, make_docs, odd_pairs, monkeypat
     monkeypatch.setattr(Scratch, "write", seen)
     # the joins after the explodes, and none before them that could hide a broadcast
     plans["group"] = plan_of(simhash.group(make_docs(odd_pairs)))
+    plans["decide"] = plan_of(exact_dedup.decide(make_docs(odd_pairs)))
     plans["links"] = plan_of(simhash.pigeonring_links(spark.createDataFrame([(1, 1), (3, 3)], "fp long, root long"), Scratch(spark, "t")))
-    for name in ("lookups", "group", "links"):
+    for name in ("lookups", "group", "decide", "links"):
         assert "SortMergeJoin" in plans[name] and "Broadcast" not in plans[name], name
