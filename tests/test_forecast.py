@@ -1,12 +1,17 @@
+import threading
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from seriesloom.functions.smoothing import Carrier, Smoother, first_state
 from seriesloom.operators.decompose import decompose
 from seriesloom.operators.forecast import additive, arima, boosted, ets, hybrid, naive, slots
 from seriesloom.operators.forecast.split import metrics, rank_models, split, holdout_rows, train_rows
 from seriesloom.operators.stationarity import adf
-from seriesloom.plans.benchmark import ALL, Bench, compare, forecast_frame
+from seriesloom.panel import attach
+from seriesloom.plans.benchmark import ALL, Bench, Run, compare, forecast_frame
+from seriesloom.session import written
 from seriesloom.sources import models
 from tests.conftest import values_of
 
@@ -342,3 +347,45 @@ def test_training_rows_are_dealt_by_their_number(spark, panel_of, waves):
     few, more = boosted.dealt(rows, ["y"]), boosted.dealt(rows, ["y"], 100)
     assert few.rdd.getNumPartitions() == 1 and more.rdd.getNumPartitions() == 8
     assert sorted(r.y for r in more.collect()) == sorted(r.y for r in rows.collect())
+
+
+def test_trees_run_beside_the_other_models(spark):
+    """The trees wait for a model that comes after them in the list."""
+    begun = threading.Event()
+    columns = "series_id string, model string, mode string, h long, ts timestamp, i long, y double, yhat double"
+
+    class Waiting:
+        def run(self, name):
+            if name == "XGBoost":
+                assert begun.wait(60)
+            else:
+                begun.set()
+            rows = spark.createDataFrame([("a", name, "m", 1, None, 8, 2.0, 2.0 + len(name))], columns)
+            status = spark.createDataFrame([("a", name, "success", None)], "series_id string, model string, status string, error string")
+            return Run(name, rows, status)
+
+    result = compare(Waiting(), ["XGBoost", "SARIMA"])
+    assert [(r.model, r.mae, r["rank"]) for r in result.scores.orderBy("rank").collect()] == [("SARIMA", 6.0, 1), ("XGBoost", 7.0, 2)]
+    assert {r.model for r in result.forecasts.collect()} == {"XGBoost", "SARIMA"}
+
+
+def test_short_series_are_fitted_in_several_tasks(spark, panel_of):
+    """By their bytes all of them would meet in one."""
+    rng = np.random.default_rng(1)
+    train = train_rows(split(panel_of({f"s{k}": rng.normal(10, 1, 40) for k in range(30)}), 0.8))
+    for fitted in (ets.fit(train, rates=[(0.3, 0.1, 0.2)]), arima.fit(train)):
+        rows = fitted.select("series_id", "status", F.spark_partition_id().alias("task")).collect()
+        assert len(rows) == 30 and {r.status for r in rows} == {"success"} and len({r.task for r in rows}) > 2
+
+
+def test_rows_are_not_broadcast(spark, panel_of):
+    """Neither the rows of a panel beside their values per series, nor the steps of a forecast."""
+    panel = written(panel_of({"a": list(range(30)), "b": list(range(30))}), "panel")
+    stats = written(panel.groupBy("series_id").agg(F.max("i").alias("last_i"), F.avg("y").alias("m")), "stats")
+    rows = attach(panel, stats)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert rows.where("m = 14.5").count() == 60
+    # a season takes the forecast through segments of steps
+    bench = Bench(panel, 0.8, stats.select("series_id", F.lit(2).alias("seasonal_period")))
+    plan = bench.run("Exponential Smoothing").forecasts._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
